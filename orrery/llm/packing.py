@@ -21,6 +21,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ LENGTH = 4_096
 END_ID = 1
 #: Pieces packed together in one task; a group leaves about half a sequence open.
 GROUP = 6_000
-#: Words remembered by a worker.
+#: Word stems remembered by a worker.
 REMEMBER = 700_000
 
 #: A line's stem and what follows it; two empty groups for a line of another make. ß and ÿ have no one-letter upper case here.
@@ -41,8 +42,8 @@ class WordEncoder:
     """Token ids of words by a public word-level BPE vocabulary, as little-endian uint32 bytes.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a
-    text's ids are its words' ids in a row. Words not yet remembered are looked
-    up together: plain ones take a byte-pair merge by rank in tiktoken, where a
+    text's ids are its words' ids in a row. The distinct words of a portion are
+    looked up together: plain ones take a byte-pair merge by rank in tiktoken, where a
     word's last letter is marked by its upper-case form, which stands for the
     vocabulary's word-end symbol. All others go through `tokenizers` itself.
     """
@@ -55,7 +56,6 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self._merger(json.load(f)["model"]["vocab"])
-        self.memo: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {"": b""}
 
@@ -83,9 +83,9 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remember the ids of words without ASCII white space."""
-        memo, stems, ends = self.memo, self.stems, self.ends
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words without ASCII white space."""
+        stems, ends = self.stems, self.ends
         if len(stems) > REMEMBER:
             stems.clear()
         if len(ends) > REMEMBER:
@@ -97,26 +97,30 @@ class WordEncoder:
             cuts = [0, *(4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()]
             raw = ids.astype("<u4").tobytes()
             stems.update(zip(new, [raw[i:j] for i, j in zip(cuts, cuts[1:])], strict=True))
-        for w, (stem, end) in zip(words, parts, strict=True):
-            if not stem:
-                memo[w] = self.whole(w.decode())
-                continue
-            tail = ends.get(end)
-            if tail is None:
-                tail = ends[end] = self.whole(end)
-            memo[w] = stems[stem] + tail
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a few megabytes of text at a time is enough."""
-        split = [(t or "").encode().split() for t in texts]
-        seen = set().union(*split)
-        if len(self.memo) > REMEMBER:
-            self.memo.clear()
-        missing = [w for w in seen if w not in self.memo]
-        if missing:
-            self.learn(missing)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        for end in {p[1] for p in parts} - ends.keys():
+            ends[end] = self.whole(end)
+        return [stems[stem] + ends[end] if stem else self.whole(w.decode()) if w else b"" for w, (stem, end) in zip(words, parts, strict=True)]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a string array; some megabytes of text at a time is enough.
+
+        The vocabulary is lower-case, so ASCII letters are lowered at once,
+        except where that might make a special token's string.
+        """
+        texts = pc.fill_null(texts, "")
+        marked = pc.match_substring(texts, "<|")
+        low = pc.ascii_lower(texts)
+        if pc.any(marked).as_py():
+            low = pc.if_else(marked, texts, low)
+        lists = pc.ascii_split_whitespace(low)
+        coded = lists.flatten().dictionary_encode()
+        known = self.words(coded.dictionary.cast(pa.binary()).to_pylist()) if len(coded.dictionary) else []
+        taken = pa.array(known, pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        at = at[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        data = taken.buffers()[2] if len(taken) else None
+        data = memoryview(data) if data is not None else b""
+        return [bytes(data[i:j]) for i, j in zip(at, at[1:])]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -130,16 +134,14 @@ def encoder(path: str) -> WordEncoder:
     return kept[path]
 
 
-def _portions(texts: list, size: int = 1_500_000):
-    """Index ranges of texts of about `size` characters together."""
-    a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
-        if n >= size:
-            yield a, i + 1
-            a, n = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def _portions(texts: pa.Array, size: int = 12_000_000):
+    """Slices (offset, texts) of about `size` bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, size + (ends[a - 1] if a else 0), "right")))
+        yield a, texts.slice(a, b - a)
+        a = b
 
 
 def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -150,10 +152,10 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         gc.disable()  # only flat lists and dicts are made; a worker ends with its memory
         enc = encoder(tokenizer)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keys = b.column(0).to_pylist()
             out = {c: [] for c in (key, "piece", "start", "length", "ids_crc32")}
-            for x, y in _portions(texts):
-                for k, raw in zip(keys[x:y], enc.ids(texts[x:y])):
+            for x, texts in _portions(b.column(1)):
+                for k, raw in zip(keys[x : x + len(texts)], enc.ids(texts)):
                     raw += end
                     for i, s in enumerate(range(0, len(raw), 4 * length)):
                         part = raw[s : s + 4 * length]
