@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, exclusive_offsets
+from .common import WORD, cut, exclusive_offsets, words
 
 BLOCK = 2_048
 SEED = 97
@@ -123,12 +123,12 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The documents of the mix, all columns: a row per document and turn it is taken.
 
     A document that its source's target cuts through keeps, in that last turn,
-    the words before the cut. Keys must be unique.
+    the words before the cut, single spaces between. Keys must be unique.
     """
     docs, _ = mix(df, key, text, source, **how)
-    t = docs.filter("taken > 0").select(F.col(key), "size", "taken")
-    turns = F.explode(F.sequence(F.lit(0), F.expr("(taken - 1) div size")))
-    t = t.withColumn("_turn", turns).withColumn("_words", F.least("size", F.col("taken") - F.col("_turn") * F.col("size")))
-    part = F.regexp_extract(F.col(text), F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_words").cast("string"), F.lit("})")), 1)
-    out = df.join(t, key).withColumn(text, F.when(F.col("_words") < F.col("size"), F.rtrim(part)).otherwise(F.col(text)))
+    t = docs.filter("taken > 0").select(F.col(key), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    turns = F.explode(F.sequence(F.lit(0), F.expr("(_taken - 1) div _size")))
+    t = t.withColumn("_turn", turns).withColumn("_words", F.least("_size", F.col("_taken") - F.col("_turn") * F.col("_size")))
+    part = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("_words").cast("int")), " ")
+    out = df.join(t, key).withColumn(text, F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col(text)))
     return out.select(*df.columns)

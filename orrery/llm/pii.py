@@ -49,8 +49,10 @@ DIGIT_WORDS = (
 )
 AT_WORDS = "at|arroba|arobase|ät"
 DOT_WORDS = "dot|punkt|punto|point"
-# Top-level domains that let a bare "at" count without a spelled dot.
-TLDS = "com|org|net|edu|gov|info|io|de|fr|es|eu|uk|us|ch|at"
+# Which words for a dot go with which for an at.
+PAIRS = {"at": {"dot", "punkt"}, "ät": {"punkt"}, "arroba": {"punto"}, "arobase": {"point"}, "@": {"dot", "punkt", "punto", "point"}}
+# Top-level domains that a disguise without brackets must end in.
+TLDS = "com|org|net|edu|gov|info|io|co|de|fr|es|eu|uk|us|ch|at|example|test"
 
 _FROM = {ch: a for a, chars in LOOKALIKES.items() for ch in chars}
 _DIGIT = {w: str(i) for ws in DIGIT_WORDS for i, w in enumerate(ws.split())} | {"oh": "0"}
@@ -197,12 +199,15 @@ def _bracketed(t: str) -> list[tuple[int, int, str]]:
 
 
 def _bare(t: str) -> list[tuple[int, int, str]]:
+    """Without brackets, a disguise needs a known top-level domain and words of one language."""
     edits = []
     for m in _BARE.finditer(t):
         dots = [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in _BARE_DOT.finditer(m["host"])]
-        if m["at"] == "@" and not dots:
+        named = {t[a:b].strip().lower() for a, b, _ in dots}
+        at = m["at"].strip().lower()
+        if not named <= PAIRS[at] or at == "@" and not dots and m["at"] == "@":
             continue
-        if dots or _TLD.search(m["host"]):
+        if _TLD.search(_BARE_DOT.sub(".", m["host"])):
             edits += [(m.start("at"), m.end("at"), "@"), *dots]
     return edits
 
