@@ -112,14 +112,14 @@ def markdown_rows(spark, sf_dir):
     return n.groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("- "), "n_name"))), "\n").alias("body"))
 
 
-_SQL_ATT = "at AS (SELECT event_id AS seq, event_type AS id, CASE WHEN event_type = 'error' THEN 'error' WHEN value > 50 THEN 'warn' ELSE 'info' END AS severity FROM events), ak AS (SELECT *, CASE severity WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS k FROM at)"
+_SQL_ATT = "att AS (SELECT event_id AS seq, event_type AS id, CASE WHEN event_type = 'error' THEN 'error' WHEN value > 50 THEN 'warn' ELSE 'info' END AS severity FROM events), ak AS (SELECT *, CASE severity WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS k FROM att)"
 
 
 def _attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("id"), F.when(F.col("event_type") == "error", "error").when(F.col("value") > 50, "warn").otherwise("info").alias("severity"))
 
 
-@query(f"WITH {_SQL_ATT} SELECT seq, id, severity, greatest((SELECT count(*) FROM at) - 30, 0)::BIGINT AS truncated FROM ak ORDER BY k, seq LIMIT 30")
+@query(f"WITH {_SQL_ATT} SELECT seq, id, severity, greatest((SELECT count(*) FROM att) - 30, 0)::BIGINT AS truncated FROM ak ORDER BY k, seq LIMIT 30")
 def attention_cap(spark, sf_dir):
     return attention.capped(_attention(spark, sf_dir))
 
