@@ -158,6 +158,47 @@ def test_simhash_forest_of_many():
     assert len(f) - len(links) == 60
 
 
+def test_wide_forest_joins_what_pairs_join():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (8, 3), dtype=np.uint64)
+    f = base[rng.integers(0, 8, 900)].copy()
+    for _ in range(14):
+        f[np.arange(900), rng.integers(0, 3, 900)] ^= np.uint64(1) << rng.integers(0, 63, 900, dtype=np.uint64)
+    for radius in (12, 22, 34):
+        links = simhash.wide_forest(f, radius)
+
+        def groups(pairs):
+            root = list(range(900))
+
+            def find(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for i, j in pairs:
+                p, q = sorted((find(i), find(j)))
+                root[q] = p
+            return [find(i) for i in range(900)]
+
+        near = np.argwhere(simhash.distances(f[:, None], f[None]) <= radius)
+        assert groups(links) == groups(near.tolist())
+
+
+def test_simhash_finds_near_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(60):
+        ws = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        for c in range(2):
+            copy = list(ws)
+            if c:
+                for at in rng.choice(400, 6, replace=False):
+                    copy[at] = "changed"
+            rows.append((2 * g + c, " ".join(copy), "en", "s"))
+    kept = {r.doc_id for r in simhash.deduplicated(make(spark, rows)).collect()}
+    assert set(range(0, 120, 2)) <= kept and len(kept) <= 62
+
+
 def test_simhash_keeps_one(spark, corpus):
     d = make(spark, [r for r in corpus if r[0] not in (None, 403)])
     kept = {r.doc_id for r in simhash.deduplicated(d).collect()}
