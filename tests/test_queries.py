@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows at the smallest scale."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -22,7 +23,7 @@ def con():
 def cell(x):
     if x is None or x is pd.NA or (isinstance(x, float) and x != x):
         return "NULL"
-    if isinstance(x, bool) or not hasattr(x, "__float__") or isinstance(x, str):
+    if isinstance(x, (bool, np.bool_)) or not hasattr(x, "__float__") or isinstance(x, str):
         return str(x)
     return f"{float(x):.6g}"
 
