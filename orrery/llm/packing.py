@@ -32,7 +32,7 @@ END_ID = 1
 #: Pieces packed together in one task; a group leaves about half a sequence open.
 GROUP = 6_000
 #: Word stems remembered by a worker.
-REMEMBER = 700_000
+REMEMBER = 250_000
 
 #: A line's stem and what follows it; two empty groups for a line of another make. ß and ÿ have no one-letter upper case here.
 _PLAIN = re.compile(r"(?m)^(?:([a-zà-öø-ÿ]*[a-zà-öø-þ])(?<!ß)([.,!?;:|#$%&*=()\"-]*)$|[^\n]*$)")
@@ -134,7 +134,7 @@ def encoder(path: str) -> WordEncoder:
     return kept[path]
 
 
-def _portions(texts: pa.Array, size: int = 12_000_000):
+def _portions(texts: pa.Array, size: int = 4_000_000):
     """Slices (offset, texts) of about `size` bytes together."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     a = 0
@@ -161,6 +161,7 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                         part = raw[s : s + 4 * length]
                         for c, v in zip(out, (k, i, s // 4, len(part) // 4, zlib.crc32(part))):
                             out[c].append(v)
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(key, b.schema.field(0).type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
