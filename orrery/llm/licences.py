@@ -4,9 +4,13 @@ A paragraph is a line that holds a licence cue word. Its word 1- to 3-grams are
 the sparse features of a multinomial logistic regression over licence families
 and an `unknown` class, trained here on the notices below, on pieces of them
 and on lines that only sound alike. A prediction counts if its probability
-passes the cut calibrated on kept-back pieces, and if the paragraph shares
-enough word 3-grams with a notice of that family. A document's family is that
-of its surest confirmed paragraph, ties to the first by code point.
+passes the cut calibrated on kept-back pieces, and if one notice of that family
+confirms it: by the share of the paragraph's word 3-grams that the notice
+holds, or by the share of the notice's 3-grams found close together in the
+paragraph. For the latter each stretch that holds enough of a notice is
+classified by itself, so a notice counts whatever stands around it in its line,
+and a line may name several families. A document's family is that of its surest
+confirmed paragraph, ties to the first by code point.
 
 Distinct lines are classified once, however many documents repeat them; every
 text is scanned whole. Null or empty text has no paragraph and no family;
@@ -49,10 +53,22 @@ SOUNDALIKES = [
     "A person with a license for boats.", "The file was released in version two.", "Apache helicopters flew over the town under cover.", "The creative work of the commons was shared.",
     "This work is about the general of the army.", "License plates are made of metal.", "An international license exam was held.", "The bird was released under the tree.",
 ]
+# Notices in full length, as works carry them; templates only, the classifier is trained on the short ones.
+FULL = {
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."],
+    "apache": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."],
+    "mit": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+}
 CUES = r"(?i)licen[cs]e|copyright|all rights reserved|permission|redistribut|public domain|free software|spdx|\bcc[ -]?(?:by|0)\b|proprietary|\bgpl|creative commons"
 UNKNOWN = "unknown"
 ORDER = 3
-#: Share of a paragraph's word 3-grams (or shorter, if it has none) that must occur in one notice of the family.
+#: Share of a paragraph's word 3-grams (or shorter, if it has none) that must occur in one notice of the family,
+#: or share of one notice's that must occur within twice its length in the paragraph.
 CONFIRM = 0.5
 
 
@@ -124,26 +140,55 @@ def _grams(ws: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, n), " "))
 
 
-def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """line, family, probability, similarity, confirmed for each distinct line; unknown ones are left out."""
-    spark = lines.sparkSession
+def templates() -> list[tuple[str, int, str, int]]:
+    """family, notice, word 3-gram, number of the notice's distinct ones."""
+    every = [(c, t) for c in NOTICES for t in NOTICES[c] + FULL.get(c, [])]
+    sets = [{" ".join(tokens(t)[k : k + 3]) for k in range(max(1, len(tokens(t)) - 2))} for _, t in every]
+    return [(c, i, g, len(s)) for i, ((c, _), s) in enumerate(zip(every, sets)) for g in sorted(s)]
+
+
+def _probable(d: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, family, probability of word arrays `ws` whose family passes the cut."""
     classes, weights, bias, least = train()
     # bounded by the notices above, whatever the input
-    model = spark.createDataFrame([(g, v) for g, v in weights.items()], "gram string, w array<double>")
-    notices = [(c, i, g) for c in NOTICES for i, t in enumerate(NOTICES[c]) for g in sorted({" ".join(tokens(t)[k : k + 3]) for k in range(max(1, len(tokens(t)) - 2))})]
-    templates = spark.createDataFrame(notices, "family string, notice int, gram string")
-    d = lines.select(line).distinct().withColumn("ws", _tokens(F.col(line)))
-    g = d.withColumn("gram", F.explode(F.array_distinct(F.concat(*[_grams(F.col("ws"), n) for n in range(1, ORDER + 1)])))).join(F.broadcast(model), "gram")
-    z = g.groupBy(line).agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(classes))])
+    model = d.sparkSession.createDataFrame([(g, v) for g, v in weights.items()], "gram string, w array<double>")
+    g = d.select(*keys, F.explode(F.array_distinct(F.concat(*[_grams(F.col("ws"), n) for n in range(1, ORDER + 1)]))).alias("gram")).join(F.broadcast(model), "gram")
+    z = g.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(classes))])
     logits = F.array(*[F.struct((F.col(f"z{i}") + bias[i]).alias("z"), F.lit(c).alias("c")) for i, c in enumerate(classes)])
     z = z.withColumn("zs", logits).withColumn("top", F.array_max("zs"))
     total = F.aggregate("zs", F.lit(0.0), lambda a, x: a + F.exp(x["z"] - F.col("top")["z"]))
-    z = z.select(line, F.col("top")["c"].alias("family"), F.round(1 / total, 6).alias("probability")).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
+    return z.select(*keys, F.col("top")["c"].alias("family"), F.round(1 / total, 6).alias("probability")).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
+
+
+def _stretches(d: DataFrame, notices: DataFrame) -> DataFrame:
+    """h1, h2, ws, family, similarity: the stretches of lines that hold enough of a notice, with ORDER words around.
+
+    Matches are counted in blocks of twice the notice's length, one beginning
+    at each multiple of it: every window of notice length lies in a block.
+    """
+    at = d.select("h1", "h2", F.posexplode(_grams(F.col("ws"), 3)).alias("pos", "gram")).join(F.broadcast(notices), "gram")
+    at = at.withColumn("block", F.explode(F.array(F.expr("pos div n"), F.expr("pos div n") - 1)))
+    s = at.groupBy("h1", "h2", "notice", "block").agg(F.first("family").alias("family"), (F.count_distinct("gram") / F.first("n")).alias("similarity"), F.min("pos").alias("a"), F.max("pos").alias("b"))
+    s = s.filter(F.col("similarity") >= CONFIRM).groupBy("h1", "h2", "family", "a", "b").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+    a = F.greatest(F.col("a") - ORDER, F.lit(0))
+    return d.join(s, ["h1", "h2"]).select("h1", "h2", F.slice("ws", a + 1, F.col("b") + 3 + ORDER - a).alias("ws"), "family", "similarity")
+
+
+def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """line, family, probability, similarity, confirmed for each distinct line and family found in it; unknown ones are left out."""
+    notices = lines.sparkSession.createDataFrame(templates(), "family string, notice int, gram string, n int")
+    d = lines.select(line).distinct().select(line, F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), _tokens(F.col(line)).alias("ws"))
+    keys = ["h1", "h2"]
     three = F.when(F.size("ws") >= 3, F.array_distinct(_grams(F.col("ws"), 3))).otherwise(F.array(F.array_join("ws", " ")))
-    z = z.withColumn("ws", _tokens(F.col(line))).withColumn("grams", three)
-    hit = z.select(line, "family", F.explode("grams").alias("gram")).join(F.broadcast(templates), ["family", "gram"]).groupBy(line, "notice").agg(F.count(F.lit(1)).alias("n")).groupBy(line).agg(F.max("n").alias("n"))
-    z = z.join(hit, line, "left").withColumn("similarity", F.round(F.coalesce("n", F.lit(0)) / F.size("grams"), 6))
-    return z.select(line, "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
+    z = d.join(_probable(d, keys), keys).withColumn("grams", three)
+    hit = z.select(*keys, "family", F.explode("grams").alias("gram")).join(F.broadcast(notices), ["family", "gram"]).groupBy(*keys, "notice").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").alias("n"))
+    whole = cut(z.select(*keys, "family", "probability", F.size("grams").alias("size")).join(hit, keys, "left").select(*keys, "family", "probability", F.round(F.coalesce("n", F.lit(0)) / F.col("size"), 6).alias("similarity")))
+    # a stretch tells of what its whole line has not confirmed; equal ones are classified once
+    s = cut(_stretches(d, notices).join(whole.filter(F.col("similarity") >= CONFIRM), [*keys, "family"], "left_anti"))
+    part = s.join(_probable(s.select("ws").distinct(), ["ws"]), ["ws", "family"]).groupBy(*keys, "family").agg(F.max(F.struct("probability", "similarity")).alias("best"))
+    part = part.select(*keys, "family", "best.probability", "best.similarity")
+    found = whole.join(part, [*keys, "family"], "left_anti").unionByName(part)
+    return d.select(line, *keys).join(found, keys).select(line, "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

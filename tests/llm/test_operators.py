@@ -277,6 +277,29 @@ def test_licences(spark, corpus):
     assert licences.scan(empty(spark)).count() == 0
 
 
+PROSE = "the river ran past the old mill and over the stones while people of the town went on with their work in the rain "
+LONG_NOTICES = [
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', "apache"),
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "mit"),
+    (PROSE + "Licensed under the Apache License, Version 2.0. " + PROSE, "apache"),
+    (PROSE * 40 + "Released under the MIT License. " + PROSE * 40, "mit"),
+    (PROSE + "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. " + PROSE, "cc-by-nc"),
+    (PROSE + "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3. " + PROSE, "agpl"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+]
+
+
+def test_licences_in_long_paragraphs(spark):
+    rows = [(i, t, "en", "s") for i, (t, _) in enumerate(LONG_NOTICES)]
+    two = (90, "Licensed under the Apache License, Version 2.0. " + PROSE + "Released under the MIT License.", "en", "s")
+    none = [(91, PROSE * 9 + "He lost his driving license. " + PROSE * 9, "en", "s"), (92, "Permission is granted. " + PROSE * 3 + "a copy of this license", "en", "s")]
+    got = {r.doc_id: r for r in licences.scan(make(spark, [*rows, two, *none])).collect()}
+    assert [got[i].families for i in range(len(rows))] == [f for _, f in LONG_NOTICES]
+    assert [got[i].family for i in range(len(rows))] == [f for _, f in LONG_NOTICES]
+    assert got[90].families == "apache,mit" and got[90].n_confirmed == 1
+    assert got[91].family is None and got[92].family is None
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
