@@ -86,18 +86,19 @@ def lines(d: DataFrame, rows: int) -> DataFrame:
     d = d.withColumn("bucket", F.floor(F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40) * buckets).cast("long"))
     sums = d.groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
     at = exclusive_offsets(sums, ["skey"], "bucket", "n", "base").drop("n")
-    inner = W.partitionBy("skey", "bucket").orderBy("h", "_key", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("skey", "bucket").orderBy("h", "_key", "size", "_row").rowsBetween(W.unboundedPreceding, -1)
     return d.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(at, ["skey", "bucket"]).withColumn("start", F.col("base") + F.col("_in")).drop("bucket", "_in", "base")
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = SEED, epochs: float = EPOCHS, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = SEED, epochs: float = EPOCHS, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, slots).
 
     documents: key, source, size, source_size, target, taken, and start, the
-    document's place on its source's line. slots: slot, source, rank, words.
+    document's place on its source's line, and the column `row`, if given, that
+    tells rows of equal key apart. slots: slot, source, rank, words.
     """
     body = F.coalesce(df[text], F.lit(""))
-    d = df.select(df[key].alias("_key"), df[source].cast("string").alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), df[key], F.crc32(F.encode(body, "UTF-8"))).alias("h"))
+    d = df.select(df[key].alias("_key"), df[source].cast("string").alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), df[key], F.crc32(F.encode(body, "UTF-8"))).alias("h"), (F.lit(0) if row is None else df[row]).alias("_row"))
     d = cut(d.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))))
     rows = d.count()
     plan = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), epochs, cap, weights)
@@ -115,7 +116,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     low, high = F.greatest("a", "start", F.col("cell") * block), F.least("b", "end", (F.col("cell") + 1) * block)
     took = p.join(s, ["skey", "cell"]).withColumn("w", high - low).filter("w > 0").groupBy("skey", "start", "end").agg(F.sum("w").alias("taken"))
     out = laid.withColumn("end", F.col("start") + F.col("size")).join(took, ["skey", "start", "end"], "left")
-    docs = out.select(F.col("_key").alias(key), "source", "h", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"), "start")
+    docs = out.select(F.col("_key").alias(key), "source", "h", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"), "start", *([] if row is None else [F.col("_row").alias(row)]))
     return docs, slots.join(plan.select("skey", "source"), "skey").select("slot", "source", "rank", "words")
 
 
@@ -123,12 +124,14 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The documents of the mix, all columns: a row per document and turn it is taken.
 
     A document that its source's target cuts through keeps, in that last turn,
-    the words before the cut, single spaces between. Keys must be unique.
+    the words before the cut, single spaces between. Rows are told apart by an
+    id of their own, so null and repeated keys are rows like any other.
     """
-    docs, _ = mix(df, key, text, source, **how)
-    t = docs.filter("taken > 0").select(F.col(key), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    d = cut(df.withColumn("_row", F.struct(F.xxhash64(*df.columns).alias("h"), F.monotonically_increasing_id().alias("i"))))
+    docs, _ = mix(d, key, text, source, row="_row", **how)
+    t = docs.filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     turns = F.explode(F.sequence(F.lit(0), F.expr("(_taken - 1) div _size")))
     t = t.withColumn("_turn", turns).withColumn("_words", F.least("_size", F.col("_taken") - F.col("_turn") * F.col("_size")))
     part = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("_words").cast("int")), " ")
-    out = df.join(t, key).withColumn(text, F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col(text)))
+    out = d.join(t, "_row").withColumn(text, F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col(text)))
     return out.select(*df.columns)

@@ -205,6 +205,15 @@ def test_simhash_keeps_one(spark, corpus):
     assert 5 in kept and not kept & set(range(300, 312)) and simhash.deduplicated(empty(spark)).count() == 0
 
 
+def test_simhash_keeps_rows_of_null_and_repeated_ids(spark, corpus):
+    more = [(None, "no id at all", "en", "s0"), (None, "another text without an id", "en", "s0"), (None, corpus[5][1], "en", "s0")]
+    kept = simhash.deduplicated(make(spark, corpus + more)).collect()
+    assert sorted(r.text for r in kept if r.doc_id is None) == ["another text without an id", "no id at all"]
+    assert sum(r.doc_id == 403 for r in kept) == 1 and sum(r.text == corpus[5][1] for r in kept) == 1
+    plain = simhash.deduplicated(make(spark, [r for r in corpus if r[0] not in (None, 403)])).collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in plain} | {None, 403}
+
+
 def test_mixing(spark, corpus):
     docs, slots = mixing.mix(make(spark, corpus), block=64)
     got = docs.collect()
@@ -248,6 +257,16 @@ def test_mixed_documents(spark, corpus):
     assert words == collections.Counter({k: v for k, v in taken.items() if v})
 
 
+def test_mixed_documents_of_null_and_repeated_ids(spark, corpus):
+    d = make(spark, corpus + [(405, "w1 w2 w3 " * 3000, "en", "s0"), (None, "no id at all", "fr", None)])
+    taken, words = collections.Counter(), collections.Counter()
+    for r in mixing.mix(d, block=64)[0].collect():
+        taken[r.doc_id, r.source] += r.taken
+    for r in mixing.mixed(d, block=64).collect():
+        words[r.doc_id, r.source] += len(WORD.findall(r.text))
+    assert (None, "s0") in words and (None, None) in words and words == +taken
+
+
 def test_suffix(spark, corpus):
     for hot in (20_000, 1):
         got = suffix.deduplicated(make(spark, corpus), hot=hot).collect()
