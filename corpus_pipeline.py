@@ -41,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and place."""
+    """Pieces, their token ids with them, and their sequence and place."""
     return packing.pack(cut(packing.pieces(docs, tokenizer())))
 
 

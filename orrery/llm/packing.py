@@ -145,7 +145,7 @@ def _portions(texts: pa.Array, size: int = 4_000_000):
 
 
 def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """key, piece, start, length, ids_crc32 of every document's pieces."""
+    """key, piece, start, length, ids_crc32 and ids (little-endian uint32) of every document's pieces."""
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
@@ -153,18 +153,18 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         enc = encoder(tokenizer)
         for b in batches:
             keys = b.column(0).to_pylist()
-            out = {c: [] for c in (key, "piece", "start", "length", "ids_crc32")}
             for x, texts in _portions(b.column(1)):
+                out = {c: [] for c in (key, "piece", "start", "length", "ids_crc32", "ids")}
                 for k, raw in zip(keys[x : x + len(texts)], enc.ids(texts)):
                     raw += end
                     for i, s in enumerate(range(0, len(raw), 4 * length)):
                         part = raw[s : s + 4 * length]
-                        for c, v in zip(out, (k, i, s // 4, len(part) // 4, zlib.crc32(part))):
+                        for c, v in zip(out, (k, i, s // 4, len(part) // 4, zlib.crc32(part), part)):
                             out[c].append(v)
-            pa.default_memory_pool().release_unused()
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(key, b.schema.field(0).type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+                pa.default_memory_pool().release_unused()
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(key, b.schema.field(0).type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]))
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, capacity: int = LENGTH, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -212,10 +212,10 @@ def best_fit(lengths: np.ndarray, capacity: int = LENGTH, max_docs: int | None =
 
 
 def pack(p: DataFrame, length: int = LENGTH, group: int = GROUP, seed: int = 5, **how) -> DataFrame:
-    """Add sequence_id and offset to pieces."""
+    """Add sequence_id and offset to pieces, whose other columns (their ids) go along."""
     rows = p.count()
     groups = max(1, -(-rows // group))
-    keyed = p.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), *p.columns), F.lit(groups)).cast("long"))
+    keyed = p.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), *[c for c in p.columns if c != "ids"]), F.lit(groups)).cast("long"))
     names = p.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema) + ", sequence_id long, offset long"
 

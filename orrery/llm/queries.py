@@ -66,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import cut
 
     p = cut(packing.pieces(_table(spark, sf_dir, "documents"), tokenizer()))
-    return packing.pack(p)
+    return packing.pack(p).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

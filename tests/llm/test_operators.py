@@ -343,6 +343,18 @@ def test_packing(spark, corpus):
     assert packing.pack(packing.pieces(empty(spark), tokenizer())).count() == 0
 
 
+def test_packed_sequences_hold_the_ids(spark, corpus):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer())
+    got = packing.pack(packing.pieces(make(spark, corpus), tokenizer())).collect()
+    assert all(len(r.ids) == 4 * r["length"] and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+    by = by_key(got)
+    for i, t, _, _ in corpus:
+        if i not in (None, 403):
+            assert b"".join(r.ids for r in sorted(by[i], key=lambda r: r.piece)) == array("I", tok.encode(t or "", add_special_tokens=False).ids + [1]).tobytes()
+
+
 def test_packing_capacities():
     n = np.array([5, 4, 3, 3, 2, 2, 1, 10])
     bins, _ = packing.best_fit(n, 10)
