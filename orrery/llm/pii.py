@@ -51,23 +51,32 @@ AT_WORDS = "at|arroba|arobase|ät"
 DOT_WORDS = "dot|punkt|punto|point"
 # Which words for a dot go with which for an at.
 PAIRS = {"at": {"dot", "punkt"}, "ät": {"punkt"}, "arroba": {"punto"}, "arobase": {"point"}, "@": {"dot", "punkt", "punto", "point"}}
-# Top-level domains that a disguise without brackets must end in.
+# Top-level domains that a disguise without brackets must end in: any of the first, or any of the further ones
+# (all country codes and the common generic ones) unless the host begins with a word as in "look at the dot in the middle".
 TLDS = "com|org|net|edu|gov|info|io|co|de|fr|es|eu|uk|us|ch|at|example|test"
+MORE_TLDS = (
+    "ac ad ae af ag ai al am ao aq ar as au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ci ck cl cm cn cr cu cv cw cx cy cz dj dk dm do dz ec ee eg er et fi fj fk fm fo ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw "
+    "mil int biz name pro aero coop museum mobi jobs travel tel cat asia post arpa app dev tech online site xyz shop store blog cloud club live news email web page wiki academy agency bank city company design digital link media network space website world group global software solutions systems services berlin hamburg koln wien paris london nyc"
+).split()
+NOT_HOSTS = frozenset("the a an this that these those each every any some our your my his her its their one which der die das dem den ein eine einem le la les un une el los las una".split())
 
 _FROM = {ch: a for a, chars in LOOKALIKES.items() for ch in chars}
 _DIGIT = {w: str(i) for ws in DIGIT_WORDS for i, w in enumerate(ws.split())} | {"oh": "0"}
 _WORD = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
 _ODD = re.compile("[^\u0000-\u007f¡-¬®-¶¸-ɏ]")
-_GLUE = r"[ \t,./-]{1,3}"
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ \t]+)?(?:{_WORD}|[0-9]+)(?:(?:{_GLUE}|[ \t]+(?:{DOT_WORDS})[ \t]+)(?:{_WORD}|[0-9]+)){{3,}}(?!\w)")
-_TOKEN = re.compile(rf"(?i)(?P<plus>plus[ \t]+)|(?P<dot>[ \t]+(?:{DOT_WORDS})[ \t]+)|(?P<word>(?<!\w){_WORD}(?!\w))|(?P<glue>[ \t,/-]+)")
+# a line that begins with a number and a full stop is a list's next item
+_GLUE = r"(?:[ \t,./()-]{1,4}|[ \t,()/-]{0,3}\r?\n(?![0-9]+\.[ \t])[ \t(]{0,3})"
+_GAP = r"[ \t\r\n]+"
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus{_GAP}\(?)?(?:{_WORD}|[0-9]+)(?:(?:{_GLUE}|{_GAP}(?:{DOT_WORDS}){_GAP})(?:{_WORD}|[0-9]+))+(?!\w)")
+_TOKEN = re.compile(rf"(?i)(?P<plus>plus{_GAP}\(?)|(?P<dot>{_GAP}(?:{DOT_WORDS}){_GAP})|(?P<word>(?<!\w){_WORD}(?!\w))|(?P<glue>[ \t\r\n,/()-]+)")
 _ENTITY = re.compile(r"(?i)&#(?:0*(?P<dec>6[4]|4[63])|x0*(?P<hex>40|2e|2b));|&(?P<name>commat|period|plus);|%40")
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _BRACKET = re.compile(rf"(?i){_OPEN}(?:(?P<at>{AT_WORDS}|@)|(?P<dot>{DOT_WORDS}|\.)){_CLOSE}")
 _BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+(?P<at>[ \t]+(?:{AT_WORDS})[ \t]+|[ \t]*@[ \t]*)(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+(?:{DOT_WORDS})[ \t]+|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
 _BARE_DOT = re.compile(rf"(?i)[ \t]+(?:{DOT_WORDS})[ \t]+")
-_TLD = re.compile(rf"(?i)\.(?:{TLDS})$")
-_LOCAL_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ \t]+(?:{DOT_WORDS})[ \t]+(?=[A-Za-z0-9_-]+@)")
+_TLD = re.compile(rf"(?i)\.(?:(?P<sure>{TLDS})|{'|'.join(MORE_TLDS)}|xn--[a-z0-9-]+)$")
+_LOCAL_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ \t]+(?:{DOT_WORDS})[ \t]+(?=[A-Za-z0-9])")
+_REST = re.compile(r"[A-Za-z0-9._%+-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -93,7 +102,7 @@ def base_spans(t: str) -> dict[str, list[tuple[int, int]]]:
                 end = m.end()
                 out["email"].append((at - n, end))
     for m in _IP.finditer(t):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) < 4 and int(p or 0) <= 255 for p in [x.lstrip("0") for x in m[0].split(".")]):
             out["ip"].append(m.span())
     for m in _CARD.finditer(t):
         if m.end() - m.start() >= 13 and 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
@@ -176,11 +185,10 @@ def _entities(t: str) -> list[tuple[int, int, str]]:
 def _spelled(t: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(t):
-        run = m[0]
-        named = sum(1 for k in _TOKEN.finditer(run) if k.lastgroup == "word")
-        if named < 4 and not (named and re.search(rf"(?i)(?:{DOT_WORDS})", run)):
+        found = list(_TOKEN.finditer(t, m.start(), m.end()))
+        if all(k.lastgroup == "glue" for k in found):
             continue
-        for k in _TOKEN.finditer(t, m.start(), m.end()):
+        for k in found:
             kind = k.lastgroup
             new = {"plus": "+", "dot": ".", "glue": ""}.get(kind)
             if kind == "glue" and not (_joins(t, k.start(), k.end())):
@@ -207,11 +215,24 @@ def _bare(t: str) -> list[tuple[int, int, str]]:
         at = m["at"].strip().lower()
         if not named <= PAIRS[at] or at == "@" and not dots and m["at"] == "@":
             continue
-        if _TLD.search(_BARE_DOT.sub(".", m["host"])):
+        host = _BARE_DOT.sub(".", m["host"])
+        top = _TLD.search(host)
+        if top and (top["sure"] or host[: host.index(".")].lower() not in NOT_HOSTS):
             edits += [(m.start("at"), m.end("at"), "@"), *dots]
     return edits
 
 
+def _local_dots(t: str) -> list[tuple[int, int, str]]:
+    """Dot words of local parts: what follows one runs up to an @ or to another such word. From the last to the first, in linear time."""
+    edits, good = [], -1
+    for m in reversed(list(_LOCAL_DOT.finditer(t))):
+        end = _REST.match(t, m.end()).end()
+        if end == good or t[end : end + 1] == "@":
+            good = m.start()
+            edits.append((m.start(), m.end(), "."))
+    return edits[::-1]
+
+
 def normalise(t: str) -> Normalised | None:
     """The text with its disguises undone, or None if it holds none."""
     low = None
@@ -227,14 +248,17 @@ def normalise(t: str) -> Normalised | None:
     if any(c in low for c in "[({<"):
         n.rewrite(_bracketed(n.text))
         low = n.text.lower()
-    if any(f" {w} " in low for w in DOT_WORDS.split("|")) or "@ " in low or " @" in low or any(f".{w}" in low for w in TLDS.split("|")):
+    dotted = any(w in low for w in DOT_WORDS.split("|"))
+    if dotted or "." in low and any(w in low for w in _AT_HINTS):
         n.rewrite(_bare(n.text))
-        n.rewrite([(m.start(), m.end(), ".") for m in _LOCAL_DOT.finditer(n.text)])
+    if dotted and "@" in n.text:
+        n.rewrite(_local_dots(n.text))
     return n if n.steps else None
 
 
-#: Two digits' words next to each other; without one, no run is spelled.
-_HINTS = tuple(sorted({f"{a}{g}" for a in _DIGIT for g in " -,." if len(a) > 2} | {"un ", "un-"}))
+#: Without one of these, no run is spelled; or no address has its @ spelled or set apart.
+_HINTS = (*sorted(_DIGIT), *DOT_WORDS.split("|"), "plus")
+_AT_HINTS = (*(f"{g}{w}" for g in " \t" for w in AT_WORDS.split("|")), " @", "\t@", "@ ", "@\t")
 
 
 def find(t: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:

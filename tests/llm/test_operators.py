@@ -42,6 +42,31 @@ def test_pii_disguises(text, added):
     assert [(k, text[a:b]) for k in pii.KINDS for a, b in more[k]] == added
 
 
+@pytest.mark.parametrize("text, added", [
+    ("ring +44 seven seven zero 0900 123 now", [("phone", "+44 seven seven zero 0900 123")]),
+    ("card 4111 1111 1111 1 one one one.", [("card", "4111 1111 1111 1 one one one")]),
+    ("card 411111111111111 one.", [("card", "411111111111111 one")]),
+    ("call plus one (five five five) one two three four five six seven ok", [("phone", "plus one (five five five) one two three four five six seven")]),
+    ("plus one five five five one two\nthree four five six seven", [("phone", "plus one five five five one two\nthree four five six seven")]),
+    ("host 192 dot 168 dot one dot 1 up", [("ip", "192 dot 168 dot one dot 1")]),
+    ("write john at example dot it, or not", [("email", "john at example dot it")]),
+    ("write john at example.ai", [("email", "john at example.ai")]),
+    ("write john dot m dot doe at example dot com", [("email", "john dot m dot doe at example dot com")]),
+    ("stare at the dot in the middle", []),
+    ("one 2 three, two of 3, seven or eight; 1. one\n2. two\n3. three\n4. four", []),
+])
+def test_pii_partly_spelled(text, added):
+    base, more = pii.find(text)
+    assert not any(base.values())
+    assert [(k, text[a:b]) for k in pii.KINDS for a, b in more[k]] == added
+
+
+def test_pii_long_runs():
+    assert pii.base_spans("0" * 5000 + "1.2.3.4")["ip"] == [(0, 5007)]
+    pii.find("a dot " * 50_000)
+    pii.find("one 2 " * 50_000)
+
+
 def test_pii_base(spark, corpus):
     text = "a@b.co@d.e 1.2.3.4.5 300.1.1.1, 4111 1111 1111 1111 +1 (988) 555-2485 +12"
     base, _ = pii.find(text)
