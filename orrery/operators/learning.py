@@ -9,6 +9,8 @@ from pyspark.sql.window import Window as W
 from orrery.functions.text import round4, terms
 
 ALPHA, LEAST_DF, COMMON, LEAST_LOR, CAP = 0.5, 2, 0.4, 1.0, 15
+#: Characters of a term up to which its substrings are listed.
+LONG = 64
 
 
 def contingency(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
@@ -36,13 +38,31 @@ def gated(c: DataFrame) -> DataFrame:
 
 
 def learned(g: DataFrame, cap: int = CAP) -> DataFrame:
-    """Passed terms by (weight desc, df desc, term), those inside a better one of the class absorbed, at most `cap` a class.
+    """Passed terms by (weight desc, df desc, term), those inside a better kept one of the class absorbed, at most `cap` a class.
 
-    The anti-join runs on terms that share a token with the better term, so no
-    class is compared pair by pair.
+    A term is absorbed if a better kept one contains it as a string. Better
+    terms meet it by equality on their own substrings, so no class is compared
+    pair by pair; only terms longer than LONG, whose substrings are too many,
+    are held against their class. One that is absorbed itself lies inside a
+    kept one that is better still, so it need not be told apart.
     """
     by = W.partitionBy("code").orderBy(F.col("weight").desc(), F.col("df").desc(), "term")
     p = g.filter("gate = 'passed'").withColumn("_r", F.row_number().over(by))
+    n = F.length("term")
+    lengths = lambda a: F.sequence(F.lit(1), n - a + 1)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda a: F.transform(lengths(a), lambda k: F.substr(F.col("term"), a, k))))
+    inside = p.filter(n <= LONG).select("code", "_r", F.explode(parts).alias("term")).groupBy("code", "term").agg(F.min("_r").alias("_br"))
+    inside = p.join(inside, ["code", "term"]).filter("_br < _r").select("code", "term")
+    long = p.filter(n > LONG).select("code", F.col("term").alias("_in"), F.col("_r").alias("_br"))
+    inside = inside.union(p.join(long, "code").filter((F.col("_br") < F.col("_r")) & F.contains("_in", "term")).select("code", "term"))
+    kept = p.join(inside, ["code", "term"], "left_anti")
+    return kept.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= cap).select("code", "term", "a", "df", "lor", "weight", "rank")
+
+
+def learned_by_word(g: DataFrame, cap: int = CAP) -> DataFrame:
+    """Like `learned`, but only a single word equal to a whole word of a better two-word term is absorbed: the rule of the query's SQL."""
+    by = W.partitionBy("code").orderBy(F.col("weight").desc(), F.col("df").desc(), "term")
+    p = g.filter("gate = 'passed'").withColumn("_r", F.row_number().over(by))
     one = p.filter(~F.contains("term", F.lit(" "))).select("code", "term", "_r")
     two = p.filter(F.contains("term", F.lit(" "))).select(F.col("code"), F.col("_r").alias("_br"), F.explode(F.split("term", " ")).alias("term"))
     inside = one.join(two.groupBy("code", "term").agg(F.min("_br").alias("_br")), ["code", "term"]).filter("_br < _r").select("code", "term")

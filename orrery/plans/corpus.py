@@ -127,7 +127,7 @@ def class_log_odds(spark, sf_dir):
 
 @query(f"WITH {_SQL_LEARN} SELECT * FROM (SELECT code, term, a, df, lor, weight, CAST(row_number() OVER (PARTITION BY code ORDER BY weight DESC, df DESC, term) AS INTEGER) AS rank FROM kept) WHERE rank <= 15")
 def learned_terms(spark, sf_dir):
-    return learning.learned(_gated(spark, sf_dir))
+    return learning.learned_by_word(_gated(spark, sf_dir))
 
 
 @query(f"WITH {_SQL_LEARN} SELECT code, CAST(count(*) AS BIGINT) AS candidates, CAST(count(*) FILTER (gate = 'rare') AS BIGINT) AS rare, CAST(count(*) FILTER (gate = 'common') AS BIGINT) AS common, CAST(count(*) FILTER (gate = 'low_lor') AS BIGINT) AS low_lor, CAST(count(*) FILTER (gate = 'passed') AS BIGINT) AS passed FROM gated GROUP BY code")

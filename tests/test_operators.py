@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from orrery.functions import text as ft
-from orrery.operators import attention, calibration, scoring, voting
+from orrery.operators import attention, calibration, learning, scoring, voting
 
 
 def test_votes_with_zero_null_and_ties(spark):
@@ -47,3 +47,12 @@ def test_text(spark):
     assert d.select(ft.normalise_space(F.col("t"))).first()[0] == "a b c"
     e = spark.createDataFrame([(["x" * 5, "y" * 20, "z"],)], "p array<string>")
     assert e.select(ft.excerpt(F.col("p"), 20)).first()[0] == "xxxxx" + "y" * 15
+
+
+def test_learned_terms_absorb_by_substring(spark):
+    long = "x" * 80
+    rows = [("A", t, 2, 5, 2.0, w, "passed") for t, w in [("bomenteci", 0.9), ("bomente", 0.8), ("ment", 0.7), ("alpha beta", 0.6), ("ha be", 0.5), ("alpha", 0.4), ("bomentecis", 0.3), (long, 0.2), ("xxx", 0.1)]]
+    rows += [("B", "bomente", 2, 5, 2.0, 0.5, "passed"), ("B", "bomenteci", 2, 5, 2.0, 0.5, "rare")]
+    g = spark.createDataFrame(rows, "code string, term string, a int, df int, lor double, weight double, gate string")
+    got = sorted((r.code, r["rank"], r.term) for r in learning.learned(g).collect())
+    assert got == [("A", 1, "bomenteci"), ("A", 2, "alpha beta"), ("A", 3, "bomentecis"), ("A", 4, long), ("B", 1, "bomente")]
