@@ -16,33 +16,44 @@ ordered by a 64-bit hash of their first LENGTH bytes, checked by a second one:
 only full-length matches matter, for which any order serves that equal strings
 share. Marked bytes are joined per text in a last pass.
 
+The same index also holds strings of PASSAGE words, so that passages too short
+in bytes are reported (not removed): `n_passages` counts the maximal runs of
+words covered by such strings that another document holds too.
+
 Texts that occur more than once are repeated as a whole; every distinct text is
-indexed once. Null text is empty; texts under LENGTH bytes keep all; rows that
+indexed once. `Family` keeps levels of anchors and texts as written tables, so
+that later batches meet earlier ones; equal-sized levels merge.
+
+Null text is empty; texts under LENGTH bytes keep all; rows that
 repeat get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
 
 LENGTH = 400
 GRAM = 128
-#: Anchors of a batch in a shard.
+#: Words of a passage, and of the grams that anchor it; a passage has twice as many bytes less one at least.
+PASSAGE = 51
+WORD_GRAM = 8
+#: Anchors of a batch in a shard, and those a shard aims at: its memory is some 150 MB however large the input.
 BATCH = 1_024
+SHARD = 16_384
 #: A hash that more anchors share is dealt on by whole strings, not in one shard.
 HOT = 20_000
 
 _RNG = np.random.default_rng(0x5EED)
 TABLE1, TABLE2 = (_RNG.integers(1, 1 << 63, 256, dtype=np.uint64) for _ in range(2))
 BASE1, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -69,14 +80,34 @@ class Roller:
         self.table, self.base, self.inv = table, base, _inverse(base)
         self.pow = self.neg = np.ones(1, np.uint64)
 
-    def hashes(self, raw: np.ndarray, width: int) -> np.ndarray:
-        """raw: bytes along the last axis."""
-        n = raw.shape[-1]
+    def _grow(self, n: int) -> None:
         if len(self.pow) <= n:
             self.pow, self.neg = _powers(self.base, 2 * n + 1), _powers(self.inv, 2 * n + 1)
-        sums = np.zeros((*raw.shape[:-1], n + 1), np.uint64)
-        np.cumsum(self.table[raw] * self.pow[:n], axis=-1, out=sums[..., 1:])
-        return _mix((sums[..., width:] - sums[..., :-width]) * self.neg[: n - width + 1])
+
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        n = values.shape[-1]
+        self._grow(n)
+        sums = np.zeros((*values.shape[:-1], n + 1), np.uint64)
+        np.cumsum(values * self.pow[:n], axis=-1, out=sums[..., 1:])
+        return sums
+
+    def rolled(self, values: np.ndarray, width: int) -> np.ndarray:
+        """Of the strings of `width` values along the last axis."""
+        sums = self._sums(values)
+        return _mix((sums[..., width:] - sums[..., :-width]) * self.neg[: values.shape[-1] - width + 1])
+
+    def hashes(self, raw: np.ndarray, width: int) -> np.ndarray:
+        """raw: bytes along the last axis."""
+        return self.rolled(self.table[raw], width)
+
+    def words(self, raw: np.ndarray) -> np.ndarray:
+        """A hash of each word of a text: prefix sums at its ends."""
+        solid = np.zeros(len(raw) + 2, np.int8)
+        solid[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+        step = np.diff(solid)
+        a, z = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        sums = self._sums(self.table[raw])
+        return _mix((sums[z] - sums[a]) * self.neg[a])
 
 
 def anchors(raw: np.ndarray, roller: Roller, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,11 +115,14 @@ def anchors(raw: np.ndarray, roller: Roller, length: int = LENGTH, gram: int = G
 
     An anchor is a picked gram; the strings that pick it start at first..last.
     """
-    if len(raw) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = roller.hashes(raw, gram)
-    w = length - gram + 1
+    return _picked(roller.hashes(raw, gram) if len(raw) >= length else np.zeros(0, np.uint64), length - gram + 1)
+
+
+def _picked(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`anchors` of the gram hashes h, w of them in a string."""
     n = len(h)
+    if n < w:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     pad = -(-n // w) * w
     x = np.full(pad, np.iinfo(np.uint64).max, np.uint64)
     x[:n] = h
@@ -122,45 +156,52 @@ def _widest(least: np.ndarray, w: int, n: int) -> np.ndarray:
 
 
 class Levels:
-    """A family of sorted arrays of (hash, check, owner); equal-sized levels merge."""
+    """A family of sorted arrays of (hash, check, owner, text); equal-sized levels merge."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, h: np.ndarray, c: np.ndarray, owner: np.ndarray, text: np.ndarray, seen: np.ndarray) -> None:
+        """Scan a batch against the family and itself, flag repeated owners in `seen`, then join it.
 
-    def add(self, h: np.ndarray, c: np.ndarray, owner: np.ndarray, seen: np.ndarray) -> None:
-        """Scan a batch against the family and itself, flag repeated owners in `seen`, then join it."""
-        order = np.lexsort((c, h))
-        h, c, owner = h[order], c[order], owner[order]
+        Equal strings repeat if their `text` differs; whoever counts repeats
+        within a text as well gives every string a text of its own.
+        """
+        order = np.lexsort((text, c, h))
+        h, c, owner, text = h[order], c[order], owner[order], text[order]
         same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-        seen[owner[1:][same]] = True
-        seen[owner[:-1][same]] = True
         first = np.r_[True, ~same] if len(h) else np.zeros(0, bool)
         group = np.cumsum(first) - 1
-        uh, uc, uo = h[first], c[first], owner[first]
+        last = np.r_[first[1:], True] if len(h) else first
+        uh, uc, uo, ut = h[first], c[first], owner[first], text[first]
+        wide = ut != text[last]
         met = np.zeros(len(uh), bool)
-        for lh, lc, lo in self.levels:
+        for lh, lc, lo, lt in self.levels:
             at = np.searchsorted(lh, uh)
             open_ = at < len(lh)
             open_[open_] = lh[at[open_]] == uh[open_]
             while open_.any():  # entries of one hash but other checks follow each other
                 i = np.flatnonzero(open_)
                 hit = lc[at[i]] == uc[i]
-                met[i[hit]] = True
-                seen[lo[at[i[hit]]]] = True
-                open_[i[hit]] = False
+                k, e = i[hit], at[i[hit]]
+                met[k] = True
+                other = seen[lo[e]] | wide[k] | (lt[e] != ut[k])
+                seen[lo[e[other]]] = True
+                wide[k[other]] = True
+                open_[k] = False
                 i = i[~hit]
                 at[i] += 1
                 more = at[i] < len(lh)
                 more[more] = lh[at[i[more]]] == uh[i[more]]
                 open_[i[~more]] = False
-        seen[owner[met[group]]] = True
+        seen[owner[wide[group]]] = True
         fresh = ~met
-        self.levels.append((uh[fresh], uc[fresh], uo[fresh]))
+        self.levels.append((uh[fresh], uc[fresh], uo[fresh], ut[fresh]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             b, a = self.levels.pop(), self.levels.pop()
-            h, c, o = (np.concatenate(x) for x in zip(a, b))
+            h, c, o, t = (np.concatenate(x) for x in zip(a, b))
             order = np.lexsort((c, h))
-            self.levels.append((h[order], c[order], o[order]))
+            self.levels.append((h[order], c[order], o[order], t[order]))
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,37 +214,65 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, a, b - 1
 
 
+#: What a string is made of.
+BYTES, WORDS = 0, 1
+ANCHORS = "tid binary, unit byte, h long, lo int, hi int"
+
+
 def _list_anchors(length: int, gram: int):
     def run(batches):
         roller = Roller(TABLE1, BASE1)
         for b in batches:
-            tid, hs, lo, hi = [], [], [], []
+            tid, unit, hs, lo, hi = [], [], [], [], []
             for t in b.column(0).to_pylist():
                 raw = (t or "").encode()
-                if len(raw) >= length:
-                    tid.append(hashlib.sha256(raw).digest()[:16])
-                    for out, x in zip((hs, lo, hi), anchors(np.frombuffer(raw, np.uint8), roller, length, gram)):
-                        out.append(x)
+                if len(raw) < min(length, 2 * PASSAGE - 1):
+                    continue
+                arr = np.frombuffer(raw, np.uint8)
+                ws = roller.words(arr)
+                found = [(BYTES, anchors(arr, roller, length, gram))]
+                if len(ws) >= PASSAGE:
+                    found.append((WORDS, _picked(roller.rolled(ws, WORD_GRAM), PASSAGE - WORD_GRAM + 1)))
+                name = hashlib.sha256(raw).digest()[:16]
+                for u, x in found:
+                    if len(x[0]):
+                        tid.append(name)
+                        unit.append(u)
+                        for out, y in zip((hs, lo, hi), x):
+                            out.append(y)
             if tid:
-                ids = pa.array(tid, pa.binary()).take(pa.array(np.repeat(np.arange(len(tid)), list(map(len, lo)))))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(hs).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (lo, hi))], ["tid", "h", "lo", "hi"])
+                n = np.repeat(np.arange(len(tid)), list(map(len, lo)))
+                ids = pa.array(tid, pa.binary()).take(pa.array(n))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(unit, np.int8)[n]), pa.array(np.concatenate(hs).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (lo, hi))], ["tid", "unit", "h", "lo", "hi"])
 
     return run
 
 
-_NEAR = pa.schema([("tid", pa.binary()), ("h", pa.int64()), ("lo", pa.int32()), ("near", pa.binary())])
+_NEAR = pa.schema([("tid", pa.binary()), ("unit", pa.int8()), ("h", pa.int64()), ("lo", pa.int32()), ("near", pa.binary())])
+
+
+def _passages(raw: np.ndarray, rollers: tuple[Roller, Roller]) -> np.ndarray:
+    """(strings of PASSAGE words, 2): hash and check of each."""
+    ws = rollers[0].words(raw)
+    return np.stack([r.rolled(ws, PASSAGE) for r in rollers], axis=1) if len(ws) >= PASSAGE else np.zeros((0, 2), np.uint64)
 
 
 def _surroundings(length: int):
-    """(tid, text, marks) rows in; per anchor the bytes of the strings that pick it."""
+    """(tid, text, marks) rows in; per anchor the strings that pick it: their bytes, or hashes and checks of their words."""
 
     def run(batches):
+        rollers = Roller(TABLE1, BASE1), Roller(TABLE2, BASE2)
         for b in batches:
             out = {c: [] for c in _NEAR.names}
             for r in b.to_pylist():
-                raw = r["text"].encode()
+                raw, hashed = r["text"].encode(), None
                 for x in r["marks"]:
-                    for k, v in zip(out, (r["tid"], x["h"], x["lo"], raw[x["lo"] : x["hi"] + length])):
+                    if x["unit"] == WORDS:
+                        hashed = _passages(np.frombuffer(raw, np.uint8), rollers) if hashed is None else hashed
+                        near = hashed[x["lo"] : x["hi"] + 1].tobytes()
+                    else:
+                        near = raw[x["lo"] : x["hi"] + length]
+                    for k, v in zip(out, (r["tid"], x["unit"], x["h"], x["lo"], near)):
                         out[k].append(v)
                 if len(out["lo"]) >= 4096:
                     yield pa.RecordBatch.from_pydict(out, schema=_NEAR)
@@ -215,70 +284,94 @@ def _surroundings(length: int):
 
 
 def _strings(b: pa.RecordBatch, rollers: tuple[Roller, Roller], length: int, width: int):
-    """Hashes of the strings that pick each anchor: h, check and validity, a row per anchor."""
-    near = b.column("near").to_pylist()
-    raw = np.zeros((len(near), width - 1 + length), np.uint8)
-    for i, x in enumerate(near):
-        raw[i, : len(x)] = np.frombuffer(x, np.uint8)
-    size = np.fromiter(map(len, near), np.int64, len(near))
-    own = _mix(b.column("h").to_numpy().view(np.uint64))[:, None]
-    h, c = (r.hashes(raw, length) for r in rollers)
-    return h ^ own, c, np.arange(width) <= (size - length)[:, None]
+    """Hashes of the strings that pick each anchor: h, check and validity, a row per anchor; and which anchors are of words."""
+    near, words = b.column("near").to_pylist(), b.column("unit").to_numpy() == WORDS
+    n = len(near)
+    h, c, valid = np.zeros((n, width), np.uint64), np.zeros((n, width), np.uint64), np.zeros((n, width), bool)
+    at = np.flatnonzero(~words)
+    raw = np.zeros((len(at), width - 1 + length), np.uint8)
+    for k, i in enumerate(at.tolist()):
+        raw[k, : len(near[i])] = np.frombuffer(near[i], np.uint8)
+    if len(at):
+        h[at], c[at] = (r.hashes(raw, length) for r in rollers)
+        size = np.fromiter((len(near[i]) for i in at.tolist()), np.int64, len(at))
+        valid[at] = np.arange(width) <= (size - length)[:, None]
+    for i in np.flatnonzero(words).tolist():
+        x = np.frombuffer(near[i], np.uint64).reshape(-1, 2)
+        h[i, : len(x)], c[i, : len(x)], valid[i, : len(x)] = x[:, 0], x[:, 1], True
+    h ^= _mix(b.column("h").to_numpy().view(np.uint64))[:, None]
+    return h, c, valid, words
+
+
+def _width(length: int, gram: int) -> int:
+    """Strings that can pick one anchor."""
+    return max(length - gram, PASSAGE - WORD_GRAM) + 1
 
 
 def _scan(length: int, gram: int, batch: int):
-    """A shard's index: anchors in batches in, marked byte ranges out."""
-    width = length - gram + 1
+    """A shard's index: anchors in batches in, marked ranges out, of bytes or of words."""
+    width = _width(length, gram)
 
     def run(batches):
         rollers = Roller(TABLE1, BASE1), Roller(TABLE2, BASE2)
-        family, seen, tids, starts, n = Levels(), np.zeros(0, bool), [], [], 0
+        family, seen, tids, starts, units, n = Levels(), np.zeros(0, bool), [], [], [], 0
+        numbers: dict[bytes, int] = {}  # of texts in this shard
         for whole in batches:
             for o in range(0, whole.num_rows, batch):
                 b = whole.slice(o, batch)
-                h, c, valid = _strings(b, rollers, length, width)
+                h, c, valid, words = _strings(b, rollers, length, width)
                 need = (n + b.num_rows) * width
                 if need > len(seen):
                     seen = np.concatenate([seen, np.zeros(max(need, 2 * len(seen)) - len(seen), bool)])
                 owner = (np.arange(b.num_rows)[:, None] + n) * width + np.arange(width)
-                family.add(h[valid], c[valid], owner[valid], seen)
+                text = -1 - owner  # bytes: repeats within a text count
+                ids = b.column("tid").to_pylist()
+                for i in np.flatnonzero(words).tolist():
+                    text[i] = numbers.setdefault(ids[i], len(numbers))
+                family.add(h[valid], c[valid], owner[valid], text[valid], seen)
                 tids.append(b.column("tid"))
+                units.append(b.column("unit").to_numpy())
                 starts.append(b.column("lo").to_numpy().astype(np.int64))
                 n += b.num_rows
         if n:
             r, a, z = _runs(seen[: n * width].reshape(n, width))
             if len(r):
-                at = np.concatenate(starts)[r]
+                at, unit = np.concatenate(starts)[r], np.concatenate(units)[r]
                 ids = pa.chunked_array(tids).combine_chunks().take(pa.array(r))
-                yield from pa.Table.from_arrays([ids, pa.array((at + a).astype(np.int32)), pa.array((at + z + length).astype(np.int32))], ["tid", "a", "b"]).to_batches(20_000)
+                ends = at + z + np.where(unit == WORDS, PASSAGE, length)
+                yield from pa.Table.from_arrays([ids, pa.array(unit), pa.array((at + a).astype(np.int32)), pa.array(ends.astype(np.int32))], ["tid", "unit", "a", "b"]).to_batches(20_000)
 
     return run
 
 
 def _spread(length: int, gram: int):
     """Of anchors with a hot hash: a row per string, to be counted by a reduction."""
-    width = length - gram + 1
+    width = _width(length, gram)
 
     def run(batches):
         rollers = Roller(TABLE1, BASE1), Roller(TABLE2, BASE2)
         for whole in batches:
             for o in range(0, whole.num_rows, 1024):
                 b = whole.slice(o, 1024)
-                h, c, valid = _strings(b, rollers, length, width)
+                h, c, valid, words = _strings(b, rollers, length, width)
                 r, j = np.nonzero(valid)
                 at = b.column("lo").to_numpy().astype(np.int64)[r] + j
-                yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(r)), pa.array(at.astype(np.int32)), pa.array(h[valid].view(np.int64)), pa.array(c[valid].view(np.int64))], ["tid", "a", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(r)), pa.array(words.astype(np.int8)[r]), pa.array(at.astype(np.int32)), pa.array(h[valid].view(np.int64)), pa.array(c[valid].view(np.int64))], ["tid", "unit", "a", "s1", "s2"])
 
     return run
 
 
 def _remove():
+    """Texts and their ranges in; removed bytes, spans, the rest and the number of repeated passages out."""
+    schema = pa.schema([("tid", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("n_passages", pa.int64())])
+
     def run(batches):
+        rollers = Roller(TABLE1, BASE1), Roller(TABLE2, BASE2)
         for b in batches:
-            out = {"tid": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+            out = {c: [] for c in schema.names}
             for r in b.to_pylist():
                 raw, kept, at, gone, spans = r["text"].encode(), [], 0, 0, 0
-                for x in sorted(r["ranges"], key=lambda x: x["a"]):
+                for x in sorted((x for x in r["ranges"] if x["unit"] == BYTES), key=lambda x: x["a"]):
                     if x["b"] <= at and spans:
                         continue
                     if x["a"] > at or not spans:
@@ -289,10 +382,17 @@ def _remove():
                         gone += x["b"] - at
                     at = x["b"]
                 kept.append(raw[at:])
-                for k, v in zip(out, (r["tid"], gone, spans, hashlib.sha256(b"".join(kept)).hexdigest())):
+                runs = 0
+                met = [(x["a"], x["b"] - PASSAGE) for x in r["ranges"] if x["unit"] == WORDS]
+                if met:  # a string that another text holds may stand here more than once
+                    hashed = _passages(np.frombuffer(raw, np.uint8), rollers)
+                    mine = np.concatenate([hashed[a : z + 1, 0] for a, z in met])
+                    starts = np.flatnonzero(np.isin(hashed[:, 0], mine))
+                    runs = 1 + int((np.diff(starts) > PASSAGE).sum())
+                for k, v in zip(out, (r["tid"], gone, spans, b"".join(kept), runs)):
                     out[k].append(v)
             if out["tid"]:
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("tid", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
@@ -301,47 +401,151 @@ def _tid(text):
     return F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))
 
 
-def repeated(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges): distinct texts that may hold repeats, as (tid, text, marks); marked ranges (tid, a, b)."""
+def _texts(df: DataFrame, text: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """(body, distinct): every text; each distinct one that can hold a string, with its id."""
     t = df.select(F.coalesce(df[text], F.lit("")).alias("text"))
-    found = cut(t.mapInArrow(_list_anchors(length, gram), "tid binary, h long, lo int, hi int"))
+    long = t.filter(F.octet_length("text") >= min(length, 2 * PASSAGE - 1))
+    return t, long.withColumn("tid", _tid(F.col("text"))).groupBy("tid").agg(F.first("text").alias("text"))
+
+
+def _shared(found: DataFrame) -> DataFrame:
+    """Hashes of anchors that stand in more than one place.
+
+    A written table: the join against it then has two plain shuffles below it,
+    so that a hash of very many anchors is split at run time.
+    """
     place = F.struct("tid", "lo")
-    shared = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("h")
-    marks = found.join(shared, "h", "left_semi").groupBy("tid").agg(F.collect_set(F.struct("h", "lo", "hi")).alias("marks"))
-    distinct = t.filter(F.octet_length("text") >= length).withColumn("tid", _tid(F.col("text"))).groupBy("tid").agg(F.first("text").alias("text"))
-    texts = cut(distinct.join(marks, "tid"))
-    near = texts.mapInArrow(_surroundings(length), "tid binary, h long, lo int, near binary")
-    many = texts.select(F.explode("marks").alias("m")).groupBy("m.h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h")
-    many = cut(many)
+    return cut(found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("h"))
+
+
+def _marked(found: DataFrame, shared: DataFrame) -> DataFrame:
+    return found.join(shared, "h", "left_semi").groupBy("tid").agg(F.collect_set(F.struct("unit", "h", "lo", "hi")).alias("marks"))
+
+
+def _ranges(texts: DataFrame, length: int, gram: int, batch: int, hot: int) -> DataFrame:
+    """(tid, unit, a, b): what the index family finds among texts (tid, text, marks)."""
+    near = texts.mapInArrow(_surroundings(length), "tid binary, unit byte, h long, lo int, near binary")
+    m = texts.select(F.explode("marks").alias("m"))
+    per = m.groupBy("m.h").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(per.groupBy((F.col("n") > hot).alias("hot")).agg(F.sum("n").alias("n"))).collect()
+    total = {r["hot"]: r["n"] for r in sizes}
     ranges = None
-    if many.isEmpty():
-        cold = near
-    else:
+    if total.get(True):
+        many = cut(per.filter(F.col("n") > hot).select("h"))
         near = cut(near)
-        cold, warm = near.join(many, "h", "left_anti").select(near.columns), near.join(many, "h", "left_semi").select(near.columns)
-        rows = cut(warm.mapInArrow(_spread(length, gram), "tid binary, a int, s1 long, s2 long"))
-        twice = rows.groupBy("s1", "s2").agg(F.min(F.struct("tid", "a")).alias("lo"), F.max(F.struct("tid", "a")).alias("hi")).filter("lo <> hi").select("s1", "s2")
-        ranges = rows.join(twice, ["s1", "s2"], "left_semi").select("tid", "a", (F.col("a") + length).alias("b"))
-    scanned = cold.repartition("h").mapInArrow(_scan(length, gram, batch), "tid binary, a int, b int")
-    return texts, scanned if ranges is None else scanned.unionByName(ranges)
+        near, warm = near.join(many, "h", "left_anti").select(near.columns), near.join(many, "h", "left_semi").select(near.columns)
+        rows = cut(warm.mapInArrow(_spread(length, gram), "tid binary, unit byte, a int, s1 long, s2 long"))
+        place = F.struct("tid", F.when(F.col("unit") == BYTES, F.col("a")).alias("a"))
+        twice = cut(rows.groupBy("unit", "s1", "s2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("NOT (lo <=> hi)").select("unit", "s1", "s2"))
+        end = F.col("a") + F.when(F.col("unit") == BYTES, F.lit(length)).otherwise(F.lit(PASSAGE))
+        ranges = rows.join(twice, ["unit", "s1", "s2"], "left_semi").select("tid", "unit", "a", end.alias("b"))
+    shards = max(1, -(-total.get(False, 0) // SHARD))
+    scanned = near.repartition(shards, "h").mapInArrow(_scan(length, gram, batch), "tid binary, unit byte, a int, b int")
+    return scanned if ranges is None else scanned.unionByName(ranges)
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT) -> DataFrame:
-    """A row per document: key, n_bytes, n_removed, n_spans, kept_sha256."""
+def repeated(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(texts, ranges): distinct texts that may hold repeats, as (tid, text, marks); marked ranges (tid, unit, a, b)."""
+    t, distinct = _texts(df, text, length)
+    found = cut(t.mapInArrow(_list_anchors(length, gram), ANCHORS))
+    texts = cut(distinct.join(_marked(found, _shared(found)), "tid"))
+    return texts, _ranges(texts, length, gram, batch, hot)
+
+
+def _outcome(texts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """tid, n_removed, n_spans, kept, n_passages of each distinct text with a range."""
+    per = ranges.groupBy("tid").agg(F.collect_set(F.struct("unit", "a", "b")).alias("ranges"))
+    return texts.select("tid", "text").join(per, "tid").mapInArrow(_remove(), "tid binary, n_removed long, n_spans long, kept binary, n_passages long")
+
+
+def _result(df: DataFrame, key: str, text: str, length: int, gram: int, batch: int, hot: int, form) -> DataFrame:
+    """A row per document; `form` makes `kept` of remaining bytes, before any of them is shuffled."""
     texts, ranges = repeated(df, text, length, gram, batch, hot)
-    per = ranges.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    cutdown = texts.select("tid", "text").join(per, "tid").mapInArrow(_remove(), "tid binary, n_removed long, n_spans long, kept_sha256 string")
     body = F.coalesce(df[text], F.lit(""))
-    d = cut(df.select(df[key].alias("_key"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(F.encode(body, "UTF-8"), 256).alias("sha")))
-    d = d.withColumn("tid", F.unhex(F.substring("sha", 1, 32)))
+    passage = F.lit(r"(?s)^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (PASSAGE - 1))
+    d = df.select(df[key].alias("_key"), form(F.encode(body, "UTF-8")).alias("own"), F.octet_length(body).cast("long").alias("n_bytes"), F.regexp_like(body, passage).alias("long"), _tid(body).alias("tid"))
+    d = cut(d)
     copies = d.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tid", F.lit(True).alias("copied"))
-    of = copies.join(cutdown, "tid", "full_outer")
-    whole = F.col("copied") & (F.col("n_bytes") >= length)
-    out = d.join(of, "tid", "left").withColumn("whole", F.coalesce(whole, F.lit(False)))
-    return out.select(
+    of = copies.join(_outcome(texts, ranges).withColumn("kept", form(F.col("kept"))), "tid", "full_outer")
+    copied = F.coalesce(F.col("copied"), F.lit(False))
+    whole = copied & (F.col("n_bytes") >= length)
+    gone = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    one = F.lit(1).cast("long")
+    return d.join(of, "tid", "left").select(
         F.col("_key").alias(key),
         "n_bytes",
-        F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("whole"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("whole"), F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(whole, F.col("n_bytes")).otherwise(gone("n_removed")).alias("n_removed"),
+        F.when(whole, one).otherwise(gone("n_spans")).alias("n_spans"),
+        F.when(whole, form(F.encode(F.lit(""), "UTF-8"))).otherwise(F.coalesce("kept", "own")).alias("kept"),
+        F.when(copied & F.col("long"), one).otherwise(gone("n_passages")).alias("n_passages"),
     )
+
+
+def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT) -> DataFrame:
+    """A row per document: key, n_bytes, n_removed, n_spans, n_passages and kept, its remaining bytes (a cut may fall inside a character)."""
+    return _result(df, key, text, length, gram, batch, hot, lambda raw: raw)
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT) -> DataFrame:
+    """A row per document: key, n_bytes, n_removed, n_spans, kept_sha256, n_passages."""
+    return _result(df, key, text, length, gram, batch, hot, lambda raw: F.sha2(raw, 256)).withColumnRenamed("kept", "kept_sha256")
+
+
+class Family:
+    """Levels of indexed texts in a shared folder, which later batches are scanned against.
+
+    A level is two tables, texts (tid, text) and their anchors, and the number
+    of anchors. A batch is scanned against itself and every level; then it
+    becomes a level, and levels of about equal size merge, so that there are
+    at most log(batches) of them. The list of levels is a small table of its
+    own, written anew at each step; a batch counts once its list is written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, gram: int = GRAM):
+        self.spark, self.path, self.length, self.gram, self.step = spark, path.rstrip("/"), length, gram, 0
+        self.levels: list[tuple[str, int]] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, step: int, length: int = LENGTH, gram: int = GRAM) -> Family:
+        """The family as its `step`-th batch left it."""
+        f = cls(spark, path, length, gram)
+        f.step = step
+        f.levels = [(r["name"], r["n"]) for r in spark.read.parquet(f"{f.path}/levels-{step}").orderBy("i").collect()]
+        return f
+
+    def _table(self, name: str, kind: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}/{kind}")
+
+    def _write(self, texts: DataFrame, found: DataFrame) -> tuple[str, int]:
+        name = f"level-{uuid.uuid4().hex}"
+        texts.write.parquet(f"{self.path}/{name}/texts")
+        found.repartitionByRange("h").sortWithinPartitions("h").write.parquet(f"{self.path}/{name}/anchors")
+        return name, self._table(name, "anchors").count()
+
+    def add(self, df: DataFrame, text: str = "text", batch: int = BATCH, hot: int = HOT) -> DataFrame:
+        """Index a batch; (tid, unit, a, b): ranges that it repeats, in it and in earlier texts.
+
+        A text that the family already holds adds nothing to it; it, like a text
+        that occurs twice in a batch, repeats as a whole by its tid alone.
+        """
+        _, distinct = _texts(df, text, self.length)
+        fresh = distinct.select("tid", "text")
+        for name, _ in self.levels:
+            fresh = fresh.join(self._table(name, "texts").select("tid"), "tid", "left_anti")
+        fresh = cut(fresh)
+        found = cut(fresh.select("text").mapInArrow(_list_anchors(self.length, self.gram), ANCHORS))
+        texts, every = fresh, found
+        for name, _ in self.levels:
+            met = self._table(name, "anchors").join(found.select("h").distinct(), "h", "left_semi").select(*found.columns)
+            texts, every = texts.unionByName(self._table(name, "texts")), every.unionByName(met)
+        every = cut(every)
+        marked = cut(texts.join(_marked(every, _shared(every)), "tid"))
+        ranges = cut(_ranges(marked, self.length, self.gram, batch, hot))
+        self.levels.append(self._write(fresh, found))
+        while len(self.levels) > 1 and self.levels[-2][1] <= 2 * self.levels[-1][1]:
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._write(*(self._table(a[0], k).unionByName(self._table(b[0], k)) for k in ("texts", "anchors"))))
+        self.step += 1
+        rows = [(i, name, n) for i, (name, n) in enumerate(self.levels)]
+        self.spark.createDataFrame(rows, "i int, name string, n long").coalesce(1).write.parquet(f"{self.path}/levels-{self.step}")
+        return ranges

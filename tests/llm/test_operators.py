@@ -292,26 +292,71 @@ def test_mixed_documents_of_null_and_repeated_ids(spark, corpus):
     assert (None, "s0") in words and (None, None) in words and words == +taken
 
 
+def repeated_passages(texts):
+    """Per text, the runs of words under 51-word strings that another of the texts (by place) holds too."""
+    ws = [WORD.findall(t or "") for t in texts]
+    of = collections.defaultdict(set)
+    for i, w in enumerate(ws):
+        for k in range(len(w) - 50):
+            of[tuple(w[k : k + 51])].add(i)
+    out = []
+    for w in ws:
+        at = [k for k in range(len(w) - 50) if len(of[tuple(w[k : k + 51])]) > 1]
+        out.append(sum(k - 51 > j for j, k in zip(at, at[1:])) + bool(at))
+    return out
+
+
+def marked_bytes(raws):
+    seen = collections.Counter(r[i : i + 400] for r in raws for i in range(len(r) - 399))
+    for r in raws:
+        m = np.zeros(len(r) + 1, int)
+        for i in range(len(r) - 399):
+            if seen[r[i : i + 400]] > 1:
+                m[i] += 1
+                m[i + 400] -= 1
+        yield np.cumsum(m)[: len(r)] > 0
+
+
 def test_suffix(spark, corpus):
-    for hot in (20_000, 1):
-        got = suffix.deduplicated(make(spark, corpus), hot=hot).collect()
-        assert len(got) == len(corpus)
+    rng = np.random.default_rng(8)
+    ws = [f"v{x}" for x in rng.integers(0, 900, 2000)]
+    passage, other = ws[:60], ws[100:170]
+    more = [(600, " ".join(ws[200:300] + passage + ws[300:380]), "en", "s"), (601, "\n".join(ws[400:440] + passage + ws[450:470] + other), "en", "s"), (602, "\t".join(other + ws[500:530] + passage + ws[560:570] + passage), "en", "s"), (603, " ".join(ws[600:660] * 2), "en", "s"), (604, " ".join(passage[:50]), "en", "s")]
+    rows = corpus + more
+    raws = [(t or "").encode() for _, t, _, _ in rows]
+    passages = repeated_passages([t for _, t, _, _ in rows])
+    assert passages[len(corpus) :] == [1, 2, 3, 0, 0]
+    for hot, batch in ((20_000, 1024), (1, 1024), (20_000, 3)):
+        d = make(spark, rows)
+        got = suffix.deduplicated(d, hot=hot, batch=batch).collect()
+        assert len(got) == len(rows)
         got = by_key(got)
-        raws = [(t or "").encode() for _, t, _, _ in corpus]
-        seen = collections.Counter(r[i : i + 400] for r in raws for i in range(len(r) - 399))
-        for (k, *_), r in zip(corpus, raws):
-            m = np.zeros(len(r) + 1, int)
-            for i in range(len(r) - 399):
-                if seen[r[i : i + 400]] > 1:
-                    m[i] += 1
-                    m[i + 400] -= 1
-            c = np.cumsum(m)[: len(r)] > 0
+        for (k, *_), r, c, n in zip(rows, raws, marked_bytes(raws), passages):
             kept = hashlib.sha256(np.frombuffer(r, np.uint8)[~c].tobytes()).hexdigest()
             x = got[k][0]
-            assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == (len(r), c.sum(), np.sum(np.diff(np.r_[0, c.astype(int)]) == 1), kept)
+            assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, x.n_passages) == (len(r), c.sum(), np.sum(np.diff(np.r_[0, c.astype(int)]) == 1), kept, n)
+    full = {(r.doc_id, bytes(r.kept)) for r in suffix.cleaned(d).collect()}
+    assert full == {(k, np.frombuffer(r, np.uint8)[~c].tobytes()) for (k, *_), r, c in zip(rows, raws, marked_bytes(raws))}
     assert suffix.deduplicated(empty(spark)).count() == 0
 
 
+def test_suffix_family_meets_earlier_batches(spark, corpus, tmp_path):
+    rows = list({t: r for r in corpus if (t := r[1]) and len(t) >= 400}.values())
+    family = suffix.Family(spark, str(tmp_path / "family"))
+    marks = collections.defaultdict(set)
+    for i in range(0, len(rows), 30):
+        for r in family.add(make(spark, rows[i : i + 30])).filter("unit = 0").collect():
+            marks[bytes(r.tid)] |= set(range(r.a, r.b))
+        if i == 30:
+            family = suffix.Family.open(spark, family.path, family.step)
+    raws = [t.encode() for _, t, _, _ in rows]
+    for r, c in zip(raws, marked_bytes(raws)):
+        assert marks[hashlib.sha256(r).digest()[:16]] == set(np.flatnonzero(c).tolist())
+    sizes = [n for _, n in family.levels]
+    assert len(sizes) <= 1 + np.log2(len(rows) / 30 + 1) and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert family.add(make(spark, rows[:5])).count() == 0
+
+
 def test_licences(spark, corpus):
     rows = [(1, "prose\nReleased under the MIT License.\nmore", "en", "s"), (2, "He lost his driving license.", "en", "s"), (3, "Licensed under the Apache License, Version 2.0.", "en", "s"), (4, "Licensed under CC BY-NC 4.0.", "en", "s"), (5, "This work is licensed under the GNU General Public License, version 3.", "en", "s"), (None, "Released under the MIT License.", None, None), (1, "prose\nReleased under the MIT License.\nmore", "en", "s")]
     got = licences.scan(make(spark, rows + corpus)).collect()
