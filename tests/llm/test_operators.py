@@ -89,10 +89,37 @@ def test_sharding(spark, corpus):
     assert sharding.placements(empty(spark)).count() == 0
 
 
+def test_sharding_of_equal_rows(spark):
+    """A hundred thousand equal rows, nulls throughout, beside others: slots stay gapless and equal ids share a shard."""
+    d = spark.range(100_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "CAST(NULL AS string) AS text").unionByName(spark.range(3000).selectExpr("id % 500 AS doc_id", "CAST(id AS string) AS text"))
+    p = sharding.placements(d, bucket_rows=1024).persist()
+    got = p.groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == 103_000 and all(r["max(slot)"] + 1 == r["count(1)"] for r in got)
+    assert p.select("shard", "slot").distinct().count() == 103_000
+    assert p.groupBy("doc_id").agg({"shard": "max"}).count() == p.select("doc_id", "shard").distinct().count() == 501
+    law = p.filter("doc_id IS NOT NULL").select("shard", "grown_shard").collect()
+    assert any(r.grown_shard == 8 for r in law) and all(r.grown_shard in (8, r.shard) for r in law)
+
+
+def test_fisher_yates(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(9).select("id", sharding.fisher_yates((F.col("id") * F.col("id") * 30).cast("int"), F.col("id")).alias("p")).collect()
+    assert all(sorted(r.p or []) == list(range(30 * r.id**2)) for r in rows)
+    three = spark.range(6000).select(sharding.fisher_yates(F.lit(3), F.col("id")).alias("p")).groupBy("p").count().collect()
+    assert len(three) == 6 and all(850 < r["count"] < 1150 for r in three)
+
+
 def test_written_shards(spark, corpus, tmp_path):
-    sharding.write_shards(make(spark, corpus), str(tmp_path / "o"), shards=3, bucket_rows=8)
+    d = make(spark, corpus).withColumnRenamed("h", "shard")
+    sharding.write_shards(d, str(tmp_path / "o"), shards=3, bucket_rows=8)
     back = spark.read.parquet(str(tmp_path / "o"))
-    assert sorted(str(r.text) for r in back.collect()) == sorted(str(t) for _, t, _, _ in corpus)
+    got = back.collect()
+    assert sorted(str(tuple(r[c] for c in d.columns)) for r in got) == sorted(str(tuple(r)) for r in d.collect())
+    for _, rs in by_key(got, "shard_").items():
+        assert sorted(r.slot_ for r in rs) == list(range(len(rs)))
+    slots = {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.placements(d.drop("shard"), shards=3, bucket_rows=8).collect()}
+    assert slots == {(r.doc_id, zlib.crc32((r.text or "").encode()), r.shard_, r.slot_) for r in got}
 
 
 def test_quality(spark, corpus):
