@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -23,12 +24,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a folder of our
-    own is made and used.
+    Only where the session names none and runs on one machine (tests) a folder
+    of our own is made and used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own_dirs:
         _own_dirs[key] = tempfile.mkdtemp(prefix="orrery-")
@@ -62,6 +65,27 @@ def exclusive_offsets(df: DataFrame, part: Sequence[str], idx: str, n: str, out:
     return a.join(t, [*part, "_blk"]).withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_blk", "_base", "_in")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def running(df: DataFrame, order: Sequence[Column], value: Column, out: str, block: int = 4_096) -> DataFrame:
+    """Add `out`: the sum of `value` over all rows before this one in the order of all rows.
+
+    Rows are range-sorted and written; sums run within blocks of consecutive
+    rows and over the blocks, so no task holds them all.
+    """
+    s = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    s = s.withColumns({"_v": value, "_blk": F.floor(F.col("_m") / block)})
+    t = s.groupBy("_blk").agg(F.sum("_v").alias("_tot")).withColumn("_base", F.coalesce(F.sum("_tot").over(W.orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_tot")
+    s = s.withColumn("_in", F.coalesce(F.sum("_v").over(W.partitionBy("_blk").orderBy("_m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return s.join(t, "_blk").withColumn(out, F.col("_base") + F.col("_in")).drop("_m", "_v", "_blk", "_in", "_base")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[list[list]], dict[str, list]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with Python lists: fn gets a list per input column and returns a list per output column."""
     struct = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)

@@ -1,13 +1,15 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from a bounded sample
-of its labelled texts. A text, lowered and without all but its letters, is
-compressed in blocks with every dictionary;
+Each language has a zstandard raw-content dictionary drawn from a bounded
+sample of its labelled texts. A text, lowered and without all but its letters
+and number signs, is compressed in blocks with every dictionary;
 the language whose dictionary gives the fewest bytes wins. The bytes between
 the best and the second are the margin; narrow margins are rejected.
 
-The sample is bounded by SAMPLE_ROWS rows and DICT_BYTES bytes per language,
-drawn by a hash that is blind to order; predictions cover every row whole.
+The sample is SAMPLE_ROWS distinct texts per language at most, those of the
+smallest seeded hash. Whole texts are cut into chunks and every sampled text
+gives a chunk, drawn by hash, then a second, until DICT_BYTES are reached;
+predictions cover every row whole.
 Null texts and texts without a letter get `und` with score 0; ties go to the
 language first by code point; an empty table, or one with no labelled row,
 gives `und` throughout.
@@ -20,12 +22,13 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import arrow_map
+from .common import arrow_map, free
 
 SAMPLE_ROWS = 128
-#: Of a sampled text, so many characters at most reach the driver.
-SAMPLE_CHARS = 32_768
+#: Characters of a chunk of a sampled text, and the bytes a dictionary aims at.
+CHUNK = 1_024
 DICT_BYTES = 131_072
 BLOCK_BYTES = 8_192
 LEVEL = 6
@@ -47,18 +50,38 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % 4 == 2
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", rows: int = SAMPLE_ROWS, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language from labelled rows; at most `rows` texts a language reach the driver."""
-    d = df.filter(df[lang].isNotNull() & df[text].rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.lit(7), F.col(order)).alias("h"))
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of category L (number signs are none)."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, size: int = DICT_BYTES, chunk: int = CHUNK) -> dict[str, bytes]:
+    """Dictionaries by language from labelled rows.
+
+    At most `rows` texts a language are drawn, and at most `rows` chunks and
+    `size` characters' worth of further ones reach the driver.
+    """
+    d = df.filter(df[lang].isNotNull() & df[text].rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(7), F.col(text)).alias("h"))
     counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * rows / n)))])
-    drawn = d.filter(F.pmod(F.col("h"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).collect()
-    texts: dict[str, dict[str, int]] = {k: {} for k in counts}
-    for r in sorted(drawn, key=lambda r: (r["h"], r["text"])):
-        texts[r["lang"]].setdefault(r["text"], r["h"])
-    return {k: b" ".join(letters(t) for t in list(v)[:rows])[:size] for k, v in sorted(texts.items()) if v}
+    # rows of small hash, several times more than needed; of these the smallest
+    top = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(2**63 - 1, int(2.0**64 * min(1.0, 8.0 * rows / n)) - 2**63)))])
+    drawn = d.filter(F.col("h") <= top[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    drawn = drawn.withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("i") <= rows)
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)), F.lit(chunk))
+    parts = drawn.withColumn("at", F.explode(starts)).withColumn("p", F.substring("text", F.col("at"), F.lit(chunk)))
+    own = W.partitionBy("lang", "h").orderBy(F.xxhash64("h", "at"), "at")
+    parts = parts.withColumn("turn", F.row_number().over(own)).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("turn", "h")))
+    parts = parts.filter((F.col("turn") == 1) | (F.col("n") <= size // chunk * 2)).select("lang", "n", "turn", "p").collect()
+    out: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
+    full = dict.fromkeys(out, 0)
+    for r in sorted(parts, key=lambda r: (r["lang"], r["n"])):
+        raw = letters(r["p"])
+        if r["turn"] == 1 or full[r["lang"]] < size:
+            out[r["lang"]].append(raw)
+            full[r["lang"]] += len(raw) + 1
+    return {k: b" ".join(v) for k, v in out.items() if v}
 
 
 def classifier(dictionaries: dict[str, bytes], block: int = BLOCK_BYTES, level: int = LEVEL):
@@ -73,7 +96,7 @@ def classifier(dictionaries: dict[str, bytes], block: int = BLOCK_BYTES, level:
         packers.append(zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def classify(text: str | None) -> tuple[str, float, int, int]:
-        if not text or not names or not _LETTER.search(text):
+        if not text or not names or not has_letter(text):
             return "und", 0.0, 0, 0
         raw = letters(text)
         sizes = [sum(len(p(raw[i : i + block])) for i in range(0, len(raw), block)) for p in packers]
@@ -107,5 +130,6 @@ def accepted(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
         got = [classify(t) for t in texts.to_pylist()]
         return pa.array([{"lang": g[0], "ok": g[0] != "und" and g[2] >= max(least, narrow * g[3])} for g in got], pa.struct([("lang", pa.string()), ("ok", pa.bool_())]))
 
-    out = df.withColumn("_judged", judge.asNondeterministic()(text)).filter("_judged.ok")
-    return out.withColumn(lang, F.col("_judged.lang")).drop("_judged")
+    judged = free(df, "judged")
+    out = df.withColumn(judged, judge.asNondeterministic()(text)).filter(F.col(judged)["ok"])
+    return out.withColumn(lang, F.col(judged)["lang"]).drop(judged)
