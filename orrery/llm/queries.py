@@ -40,8 +40,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "embeddings")
-    return topk.top_k(e, e.filter(F.col("vec_id") % 50 == 0), k=5)
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,16 +76,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 ORACLE_SQL = {
     "op5_topk": """
 WITH fit AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM fit q JOIN fit c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, q.n AS qn, c.vec_id, c.n, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM fit q JOIN fit c ON c.n <> q.n WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id, n) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
