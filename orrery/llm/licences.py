@@ -1,19 +1,22 @@
 """Licence scans by a trained paragraph classifier, on DataFrame functions alone.
 
-A paragraph is a line that holds a licence cue word. Its word 1- to 3-grams are
+A paragraph is what blank lines part, so wrapped notices are whole. Candidates
+are the paragraphs that share a word 3-gram with a notice: no other can be
+confirmed, so the test loses nothing. Their word 1- to 3-grams are
 the sparse features of a multinomial logistic regression over licence families
 and an `unknown` class, trained here on the notices below, on pieces of them
 and on lines that only sound alike. A prediction counts if its probability
-passes the cut calibrated on kept-back pieces, and if one notice of that family
+passes the cut, chosen on kept-back pieces so that as many as possible fall on
+their side of it, and if one notice of that family
 confirms it: by the share of the paragraph's word 3-grams that the notice
 holds, or by the share of the notice's 3-grams found close together in the
 paragraph. For the latter each stretch that holds enough of a notice is
-classified by itself, so a notice counts whatever stands around it in its line,
-and a line may name several families. A document's family is that of its surest
-confirmed paragraph, ties to the first by code point.
+classified by itself, so a notice counts whatever stands around it in its
+paragraph, and one may name several families. A document's family is that of
+its surest confirmed paragraph, ties to the first by code point.
 
-Distinct lines are classified once, however many documents repeat them; every
-text is scanned whole. Null or empty text has no paragraph and no family;
+Distinct paragraphs are classified once, however many documents repeat them;
+every text is scanned whole. Null or empty text has no paragraph and no family;
 repeated rows get equal results; an empty table gives an empty result.
 """
 
@@ -31,19 +34,20 @@ from .common import cut
 
 # Short notices by which works name their licence.
 NOTICES = {
-    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "apache": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License, Version 2.0.", "This software is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "Released under the AGPL version 3 or later."],
+    "apache": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License, Version 2.0.", "This software is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004", "Distributed under the Apache License 2.0."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Released under the terms of the BSD 2-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003", "SPDX-License-Identifier: BSL-1.0"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0", "Except where otherwise noted, content is available under the Creative Commons Attribution License."],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "cc0": ["To the extent possible under law, the author has waived all copyright to this work under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation.", "Distributed under the GPL version 2 or later.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Released under the GNU General Public License.", "Licensed under the terms of the GNU GPL."],
     "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "SPDX-License-Identifier: ISC"],
-    "lgpl": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["All rights reserved. No part of this work may be reproduced without prior written permission of the copyright owner.", "Proprietary and confidential: unauthorized copying of this file is prohibited by its license."],
+    "lgpl": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only", "Released under the terms of the LGPL version 3 or later.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software to deal in the Software without restriction.", "SPDX-License-Identifier: MIT", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "This project is licensed under the terms of the MIT license."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0"],
+    "proprietary": ["All rights reserved. No part of this work may be reproduced without prior written permission of the copyright owner.", "Proprietary and confidential: unauthorized copying of this file is prohibited by its license.", "All rights reserved.", "Copyright by the authors. All rights reserved."],
 }
 # Lines that share words with notices and name no licence.
 SOUNDALIKES = [
@@ -64,7 +68,6 @@ FULL = {
     "mit": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
-CUES = r"(?i)licen[cs]e|copyright|all rights reserved|permission|redistribut|public domain|free software|spdx|\bcc[ -]?(?:by|0)\b|proprietary|\bgpl|creative commons"
 UNKNOWN = "unknown"
 ORDER = 3
 #: Share of a paragraph's word 3-grams (or shorter, if it has none) that must occur in one notice of the family,
@@ -123,10 +126,12 @@ def train(seed: int = 3, rounds: int = 400, rate: float = 2.0) -> tuple[list[str
     x, y = matrix(back)
     p = probs(x)
     known = y < len(classes) - 1
-    right = p[known, y[known]].min(initial=1.0)
-    wrong = p[~known, :-1].max(initial=0.0)
-    # the cut lies between the surest unknown and the least sure known line of those kept back
-    cut = float(np.clip((right + wrong) / 2, 0.3, 0.9))
+    sure = np.where(known, p[np.arange(len(y)), y], 0.0), p[:, :-1].max(axis=1)
+    # cuts lie midway between the scores of kept-back lines; the best has most lines on their side, the highest of equals
+    at = np.unique(np.r_[0.0, sure[0][known], sure[1][~known], 1.0])
+    cuts = (at[1:] + at[:-1]) / 2
+    right = [(sure[0][known] >= c).mean() + (sure[1][~known] < c).mean() for c in cuts]
+    cut = float(cuts[len(cuts) - 1 - int(np.argmax(right[::-1]))])
     keep = np.abs(w).max(axis=1) > 0.02
     return classes, {n: [round(float(v), 6) for v in w[i]] for i, n in enumerate(names) if keep[i]}, [round(float(v), 6) for v in b], cut
 
@@ -191,9 +196,27 @@ def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return d.select(line, *keys).join(found, keys).select(line, "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
 
 
+def candidates(text: Column) -> Column:
+    """The paragraphs of a text that share a word 3-gram with a notice.
+
+    Three words in a row of the notices' vocabulary come first: few paragraphs
+    of other prose have them, so few 3-grams are built.
+    """
+    known = sorted({g for _, _, g, _ in templates()})
+    vocabulary = sorted({w for g in known for w in g.split(" ")})
+    paragraphs = F.split(F.coalesce(text, F.lit("")), r"\n[ \t\r]*\n")
+
+    def meets(x: Column) -> Column:
+        # words outside the vocabulary are blanked, and what is left is split at them
+        held = F.transform(_tokens(x), lambda w: F.when(w.isin(vocabulary), w).otherwise(""))
+        return F.exists(F.split(F.array_join(held, " "), " {2,}"), lambda r: F.exists(_grams(F.split(F.trim(r), " "), 3), lambda g: g.isin(known)))
+
+    return F.filter(paragraphs, meets)
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: key, family (null: none), probability, similarity, n_paragraphs, n_confirmed, families."""
-    cue = F.filter(F.split(F.coalesce(df[text], F.lit("")), "\n"), lambda x: x.rlike(CUES))
+    """A row per document: key, family (null: none), probability, similarity, n_paragraphs (candidates), n_confirmed, families."""
+    cue = candidates(df[text])
     hash_ = lambda i: F.xxhash64(F.lit(i), df[key], df[text])
     d = df.select(df[key].alias("_key"), hash_(1).alias("k1"), hash_(2).alias("k2"), F.transform(cue, lambda x: F.trim(x)).alias("lines"))
     d = cut(d)
