@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, exclusive_offsets, words
+from .common import WORD, cut, exclusive_offsets, running, words
 
 BLOCK = 2_048
 SEED = 97
@@ -36,20 +36,23 @@ SLOT_BLOCK = 64
 def targets(sizes: DataFrame, epochs: float = EPOCHS, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """source, source_size, weight, target from (source, source_size): a row per source.
 
-    Sources sorted by cap over weight: one is at its cap if the level at which
-    it and all after it would share the rest lies at or above its own ratio.
+    The level at which all sources share the rest rises until no source below
+    it passes its cap: each turn is one sum over the sources, and at least one
+    more source is capped.
     """
-    order = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_n") - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = sizes.withColumn("_n", order).withColumn("weight", w).withColumns({"_cap": F.col("source_size") * cap, "_all": epochs * F.sum("source_size").over(W.partitionBy())})
-    up = W.orderBy(F.col("_cap") / F.col("weight"), "_n")
-    t = t.withColumns({"_k": F.row_number().over(up), "_before": F.coalesce(F.sum("_cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)), "_rest": F.sum("weight").over(up.rowsBetween(0, W.unboundedFollowing))})
-    level = (F.col("_all") - F.col("_before")) / F.col("_rest")
-    # the first source that stays below its cap sets the level of all from there on
-    below = F.when(level * F.col("weight") < F.col("_cap"), F.struct(F.col("_k").alias("k"), level.alias("level")))
-    t = t.withColumn("_open", F.min(below).over(W.partitionBy()))
-    t = t.withColumn("target", F.when(F.col("_open").isNull() | (F.col("_k") < F.col("_open.k")), F.col("_cap")).otherwise(F.col("_open.level") * F.col("weight")))
-    return t.select("source", "source_size", "weight", "target")
+    n = running(sizes, [F.col("source").isNull(), F.col("source")], F.lit(1), "_n")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_n"), F.lit(len(weights))) + 1).cast("int"))
+    t = cut(n.select("source", F.col("source_size").cast("long").alias("source_size"), w.alias("weight")))
+    top = F.col("source_size") * cap
+    level, total = -1.0, epochs * (t.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        over = top < level * F.col("weight")
+        capped, rest = t.agg(F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        risen = (total - cap * capped) / rest if rest else float("inf")
+        if risen <= level or not rest:
+            break
+        level = risen
+    return t.withColumn("target", F.least(top.cast("double"), F.lit(level) * F.col("weight")))
 
 
 def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -57,9 +60,8 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = plan.sparkSession
     p = plan.filter("quota > 0").withColumn("_need", F.ceil(F.col("quota") / block))
     total = p.agg(F.sum("_need")).first()[0] or 0
-    c = F.sum("_need").over(W.orderBy("skey"))
-    # as many rows as there are sources; every range is dealt against them
-    p = p.withColumns({"_hi": c / total, "_lo": (c - F.col("_need")) / total}) if total else p.withColumns({"_hi": F.lit(1.0), "_lo": F.lit(0.0)})
+    # every range is dealt against the sources' shares of the unit interval
+    p = running(p, [F.col("skey")], F.col("_need"), "_c").withColumns({"_hi": (F.col("_c") + F.col("_need")) / max(total, 1), "_lo": F.col("_c") / max(total, 1)}).drop("_c")
     bounds = cut(p)
     # the interval of a point is found through a grid: each source lists the cells it touches
     cells = 4096
@@ -127,11 +129,12 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     the words before the cut, single spaces between. Rows are told apart by an
     id of their own, so null and repeated keys are rows like any other.
     """
-    d = cut(df.withColumn("_row", F.struct(F.xxhash64(*df.columns).alias("h"), F.monotonically_increasing_id().alias("i"))))
-    docs, _ = mix(d, key, text, source, row="_row", **how)
-    t = docs.filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    turns = F.explode(F.sequence(F.lit(0), F.expr("(_taken - 1) div _size")))
-    t = t.withColumn("_turn", turns).withColumn("_words", F.least("_size", F.col("_taken") - F.col("_turn") * F.col("_size")))
-    part = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("_words").cast("int")), " ")
-    out = d.join(t, "_row").withColumn(text, F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col(text)))
-    return out.select(*df.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    d = cut(df.select(whole.alias("all"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"), F.struct(F.xxhash64(*df.columns).alias("h"), F.monotonically_increasing_id().alias("i")).alias("row")))
+    docs, _ = mix(d, "key", "text", "source", row="row", **how)
+    t = docs.filter("taken > 0").select("row", "size", "taken")
+    turns = F.explode(F.sequence(F.lit(0), F.expr("(taken - 1) div size")))
+    t = t.withColumn("turn", turns).withColumn("words", F.least("size", F.col("taken") - F.col("turn") * F.col("size")))
+    part = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("words").cast("int")), " ")
+    out = d.join(t, "row").withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
+    return out.select(*[F.col("text" if c == text else f"all.`{c}`").alias(c) for c in df.columns])

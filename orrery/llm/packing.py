@@ -14,7 +14,6 @@ texts of any length are tokenised whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from array import array
@@ -149,7 +148,6 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        gc.disable()  # only flat lists and dicts are made; a worker ends with its memory
         enc = encoder(tokenizer)
         for b in batches:
             keys = b.column(0).to_pylist()
