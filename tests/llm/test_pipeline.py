@@ -30,14 +30,16 @@ def test_pipeline(spark):
             want[r.doc_id] = (lang, r.text)
     assert {r.doc_id: (r.lang, r.text) for r in rows[1]} == want
     kept = {r.doc_id for r in rows[2]}
-    fps = {r.doc_id: np.array(simhash.wide_fingerprint(r.text, 5, 3)).view(np.uint64) for r in rows[1]}
+    bits, blocks, radius = simhash.shape(len(rows[1]))
+    hasher = simhash.WideHasher(5, bits * blocks)
+    fps = {r.doc_id: np.frombuffer(hasher(r.text), np.uint64) for r in rows[1]}
     ids = sorted(fps)
     far = simhash.distances(np.array([fps[i] for i in ids])[:, None], np.array([fps[i] for i in ids])[None])
     at = {i: n for n, i in enumerate(ids)}
     for i in set(fps) - kept:
-        assert any(far[at[i], at[j]] <= 34 for j in ids if j != i)
+        assert any(far[at[i], at[j]] <= radius for j in ids if j != i)
     stay = [at[i] for i in kept]
-    close = far[np.ix_(stay, stay)] <= 20  # near enough to be met almost surely
+    close = far[np.ix_(stay, stay)] <= radius // 2  # near enough to be met almost surely
     assert close.sum() == len(stay)
     assert {r.doc_id: r.text for r in rows[3]} == {r.doc_id: pii.mask(r.text) for r in rows[2]}
     assert {r.doc_id for r in rows[4]} <= kept
