@@ -142,7 +142,8 @@ def _tokens(line: Column) -> Column:
 
 def _grams(ws: Column, n: int) -> Column:
     starts = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, n), " "))
+    # entries are read one by one: a slice would copy the array for every gram
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(n)]))
 
 
 def templates() -> list[tuple[str, int, str, int]]:
@@ -182,7 +183,8 @@ def _stretches(d: DataFrame, notices: DataFrame) -> DataFrame:
 def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """line, family, probability, similarity, confirmed for each distinct line and family found in it; unknown ones are left out."""
     notices = lines.sparkSession.createDataFrame(templates(), "family string, notice int, gram string, n int")
-    d = lines.select(line).distinct().select(line, F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), _tokens(F.col(line)).alias("ws"))
+    # written, so that words are found once and not again for every gram read from them
+    d = cut(lines.select(line).distinct().select(line, F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), _tokens(F.col(line)).alias("ws")))
     keys = ["h1", "h2"]
     three = F.when(F.size("ws") >= 3, F.array_distinct(_grams(F.col("ws"), 3))).otherwise(F.array(F.array_join("ws", " ")))
     z = d.join(_probable(d, keys), keys).withColumn("grams", three)
