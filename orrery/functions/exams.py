@@ -29,7 +29,9 @@ def qid(exam: Column, number: Column) -> Column:
 
 
 def qid_exam(q: Column) -> Column:
-    return F.regexp_extract(q, r"^(.+)_(\d{2})$", 1)
+    """Null for a malformed key."""
+    got = F.regexp_extract(q, r"^(.+)_(\d{2})$", 1)
+    return F.when(got != "", got)
 
 
 def qid_number(q: Column) -> Column:
@@ -37,11 +39,30 @@ def qid_number(q: Column) -> Column:
 
 
 def mark_points(t: Column) -> Column:
-    """Points from a mark like [3점] or [2.5점]; null without one."""
-    got = F.regexp_extract(t, r"\[(\d+(?:\.\d+)?)점\]", 1)
+    """Points from a mark like [3점], [2.5점] or [ 3 점 ]; null without one."""
+    # Fixed value: the mark's form.
+    got = F.regexp_extract(t, r"\[\s*(\d+(?:\.\d+)?)\s*점\s*\]", 1)
     return F.when(got != "", got.cast("double"))
 
 
+def cell_points(cell: Column) -> Column:
+    """Points from a table cell that is a number over 0, at most 10; null otherwise."""
+    t = F.btrim(cell)
+    v = F.when(t.rlike(r"^\d+(?:\.\d+)?$"), t.cast("double"))
+    return F.when((v > 0) & (v <= 10), v)
+
+
+def cell_ratio(cell: Column) -> Column:
+    """A number from 0 to 100 from a cell with or without per cent signs; null otherwise."""
+    v = F.regexp_replace(F.btrim(cell), "%+$", "").try_cast("double")
+    return F.when((v >= 0) & (v <= 100), v)
+
+
+def points_label(points: Column) -> Column:
+    """2.0 as 2, 1.5 as it is."""
+    return F.when(points == F.floor(points), points.cast("long").cast("string")).otherwise(points.cast("string"))
+
+
 def on_grid(x: Column, grid: float = 0.5) -> Column:
     return F.abs(x / grid - F.round(x / grid)) <= 1e-6
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 from orrery.functions.text import normalise_space, round4
 
 CEILING, FLOOR, GAP = 0.97, 1e-12, 0.15
-#: A dictionary larger than this is refused: it is carried to every task.
+#: Terms carried to a task at once; a larger dictionary takes several passes.
 MAX_TERMS = 20_000
 
 
@@ -53,10 +53,15 @@ def matcher(terms: list[str]):
 
 def _matches(texts: DataFrame, dictionary: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, list[str]]:
     """columns and `term` for each term a row's text holds."""
-    terms = [r[0] for r in dictionary.select("term").distinct().orderBy("term").limit(MAX_TERMS + 1).collect()]
+    terms = [r[0] for r in dictionary.select("term").distinct().orderBy("term").collect()]
     t = normalise_space(F.coalesce(F.col(text), F.lit("")))
-    hit = texts.select(*columns, F.explode(matcher(terms)(t)).alias("_i"))
-    return hit.select(*columns, F.element_at(F.array(*[F.lit(x) for x in terms]) if terms else F.array(F.lit("")), F.col("_i") + 1).alias("term")), terms
+    out = None
+    for i in range(0, max(len(terms), 1), MAX_TERMS):
+        part = terms[i : i + MAX_TERMS] or [""]
+        hit = texts.select(*columns, F.explode(matcher(part)(t)).alias("_i"))
+        hit = hit.select(*columns, F.element_at(F.array(*[F.lit(x) for x in part]), F.col("_i") + 1).alias("term"))
+        out = hit if out is None else out.unionByName(hit)
+    return out, terms
 
 
 def document_frequency(docs: DataFrame, dictionary: DataFrame, text: str) -> DataFrame:

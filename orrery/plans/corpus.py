@@ -107,12 +107,11 @@ per AS (SELECT code, CAST(count(*) AS BIGINT) AS n_c FROM sets GROUP BY code),
 ab AS (SELECT code, term, CAST(count(*) AS BIGINT) AS a FROM (SELECT code, unnest(ts) AS term FROM sets) GROUP BY ALL),
 dfs AS (SELECT term, CAST(sum(a) AS BIGINT) AS df FROM ab GROUP BY term),
 cont AS (SELECT code, term, a, df, n_c, (SELECT CAST(sum(n_c) AS BIGINT) FROM per) AS n FROM ab JOIN dfs USING (term) JOIN per USING (code)),
-lors AS (SELECT *, floor((ln((a + 0.5) / (n_c - a + 0.5)) - ln((df - a + 0.5) / (n - n_c - (df - a) + 0.5))) * 10000 + 0.5) / 10000 AS lor FROM cont),
+lors AS (SELECT *, ln((a + 0.5) / (n_c - a + 0.5)) - ln((df - a + 0.5) / (n - n_c - (df - a) + 0.5)) AS lor FROM cont),
 wts AS (SELECT *, floor(1 / (1 + exp(-lor)) * a / (a + 2) * 10000 + 0.5) / 10000 AS weight FROM lors),
 gated AS (SELECT *, CASE WHEN a < 2 THEN 'rare' WHEN df > 0.4 * n THEN 'common' WHEN lor < 1 THEN 'low_lor' ELSE 'passed' END AS gate FROM wts),
 passed AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY weight DESC, df DESC, term) AS r FROM gated WHERE gate = 'passed'),
-better AS (SELECT code, w AS term, min(r) AS br FROM (SELECT code, r, unnest(string_split(term, ' ')) AS w FROM passed WHERE contains(term, ' ')) GROUP BY ALL),
-kept AS (SELECT p.* FROM passed p LEFT JOIN better b ON b.code = p.code AND b.term = p.term AND b.br < p.r WHERE contains(p.term, ' ') OR b.term IS NULL)
+kept AS (SELECT p.* FROM passed p WHERE NOT EXISTS (SELECT 1 FROM passed b WHERE b.code = p.code AND b.r < p.r AND contains(b.term, p.term)))
 """
 
 
@@ -120,14 +119,14 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.gated(learning.log_odds(learning.contingency(_labelled(spark, sf_dir), "doc_id", "text", "label")))
 
 
-@query(f"WITH {_SQL_LEARN} SELECT code, term, a, df, n_c, n, lor, weight FROM wts WHERE a >= 2")
+@query(f"WITH {_SQL_LEARN} SELECT code, term, a, df, n_c, n, floor(lor * 1000 + 0.5) / 1000 AS lor, weight FROM wts")
 def class_log_odds(spark, sf_dir):
-    return _gated(spark, sf_dir).filter("a >= 2").select("code", "term", "a", "df", "n_c", "n", "lor", "weight")
+    return learning.rounded(_gated(spark, sf_dir)).select("code", "term", "a", "df", "n_c", "n", "lor", "weight")
 
 
-@query(f"WITH {_SQL_LEARN} SELECT * FROM (SELECT code, term, a, df, lor, weight, CAST(row_number() OVER (PARTITION BY code ORDER BY weight DESC, df DESC, term) AS INTEGER) AS rank FROM kept) WHERE rank <= 15")
+@query(f"WITH {_SQL_LEARN} SELECT * FROM (SELECT code, term, a, df, floor(lor * 1000 + 0.5) / 1000 AS lor, weight, CAST(row_number() OVER (PARTITION BY code ORDER BY weight DESC, df DESC, term) AS INTEGER) AS rank FROM kept) WHERE rank <= 15")
 def learned_terms(spark, sf_dir):
-    return learning.learned_by_word(_gated(spark, sf_dir))
+    return learning.rounded(learning.learned(_gated(spark, sf_dir)))
 
 
 @query(f"WITH {_SQL_LEARN} SELECT code, CAST(count(*) AS BIGINT) AS candidates, CAST(count(*) FILTER (gate = 'rare') AS BIGINT) AS rare, CAST(count(*) FILTER (gate = 'common') AS BIGINT) AS common, CAST(count(*) FILTER (gate = 'low_lor') AS BIGINT) AS low_lor, CAST(count(*) FILTER (gate = 'passed') AS BIGINT) AS passed FROM gated GROUP BY code")

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from orrery.plans import analytics, corpus, papers, relational, sheets  # noqa: F401
+    from orrery.plans import analytics, corpus, items, papers, relational, sheets  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
