@@ -85,11 +85,11 @@ def _items(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("token"))
+    o = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_orderkey").cast("string").alias("token"))
     return o.union(_items(spark, sf_dir).filter("l_quantity = 50").select("qid"))
 
 
-_TOKENS = f"tok AS (SELECT CAST(o_orderkey AS VARCHAR) AS token FROM orders WHERE o_custkey % 7 = 0 UNION ALL SELECT qid FROM ({_ITEMS}) WHERE l_quantity = 50)"
+_TOKENS = f"tok AS (SELECT CAST(o_orderkey AS VARCHAR) AS token FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT qid FROM ({_ITEMS}) WHERE l_quantity = 50)"
 
 
 @query(f"WITH {_TOKENS} SELECT CAST(exam AS VARCHAR) AS exam, qid FROM ({_ITEMS}) WHERE qid IN (SELECT token FROM tok) OR CAST(exam AS VARCHAR) IN (SELECT token FROM tok)")
@@ -103,20 +103,20 @@ def wanted_exams(spark, sf_dir):
 
 
 _FULL = """full_items AS (SELECT o_orderkey AS qid, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN o_orderpriority || ' [' || (o_orderkey % 3 + 1) || '점]' ELSE o_orderpriority END AS stem,
-  CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS boxed, coalesce(cs, []) AS choices, CASE WHEN o_custkey % 3 = 0 THEN 'because ' || o_orderstatus END AS solution,
+  CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS boxed, CASE WHEN o_orderkey % 6 > 0 THEN coalesce(cs, []) ELSE [] END AS choices, CASE WHEN o_custkey % 3 = 0 THEN 'because ' || o_orderstatus END AS solution,
   CAST(CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 5 ELSE o_orderkey % 3 + 1 END AS DOUBLE) AS points, CASE WHEN o_custkey % 11 = 0 THEN 'vision' ELSE 'text' END AS mode, CASE WHEN o_custkey % 4 = 0 THEN 'image' END AS choices_source
-  FROM orders LEFT JOIN (SELECT l_orderkey, list(l_returnflag || l_linenumber ORDER BY l_linenumber) AS cs FROM lineitem WHERE l_orderkey % 6 > 0 GROUP BY ALL) ON l_orderkey = o_orderkey)"""
+  FROM orders LEFT JOIN (SELECT l_orderkey, list(l_returnflag || l_linenumber ORDER BY l_linenumber, l_returnflag) AS cs FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey)"""
 
 
 def _full(spark, sf_dir):
-    cs = table(spark, sf_dir, "lineitem").filter("l_orderkey % 6 > 0").groupBy(F.col("l_orderkey").alias("qid")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("c")))).alias("cs"))
+    cs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("qid")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("c")))).alias("cs"))
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "qid").join(cs, "qid", "left")
     third = F.col("qid") % 3 + 1
     return o.select(
         "qid",
         F.when(F.col("qid") % 5 == 0, "").when(F.col("qid") % 5 == 1, F.concat("o_orderpriority", F.lit(" ["), third.cast("string"), F.lit("점]"))).otherwise(F.col("o_orderpriority")).alias("stem"),
         F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")).alias("boxed"),
-        F.coalesce(F.transform("cs", lambda x: x["c"]), F.array().cast("array<string>")).alias("choices"),
+        F.coalesce(F.when(F.col("qid") % 6 > 0, F.transform("cs", lambda x: x["c"])), F.array().cast("array<string>")).alias("choices"),
         F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("because "), "o_orderstatus")).alias("solution"),
         F.when(F.col("qid") % 7 == 0, F.lit(None)).when(F.col("qid") % 7 == 1, 5).otherwise(third).cast("double").alias("points"),
         F.when(F.col("o_custkey") % 11 == 0, "vision").otherwise("text").alias("mode"),
@@ -165,12 +165,12 @@ def group_extremes(spark, sf_dir):
     return items.extremes(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_quantity > 30), b AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_discount > 0.05), s AS (SELECT p_partkey AS code FROM part WHERE p_size > 10), h AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_returnflag = 'R')
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_quantity > 30), b AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_discount > 0.05), s AS (SELECT p_partkey AS code FROM part WHERE p_size > 10), h AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_quantity > 48)
 SELECT code FROM ((SELECT * FROM a UNION SELECT * FROM b) INTERSECT SELECT * FROM s) EXCEPT SELECT * FROM h""")
 def missing_codes(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "code")
     scope = table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("code"))
-    return items.missing_in_scope(li.filter("l_quantity > 30"), li.filter("l_discount > 0.05"), scope, li.filter("l_returnflag = 'R'"))
+    return items.missing_in_scope(li.filter("l_quantity > 30"), li.filter("l_discount > 0.05"), scope, li.filter("l_quantity > 48"))
 
 
 @query("SELECT DISTINCT code FROM (SELECT l_partkey AS code FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_partkey FROM lineitem WHERE l_discount > 0.08) WHERE code IN (SELECT p_partkey FROM part WHERE p_size < 25)")

@@ -95,15 +95,15 @@ def string_or_list(spark, sf_dir):
     return d.select("raw", F.array_join(s, "|").alias("joined"), F.size(s).alias("n"))
 
 
-@query("""WITH s AS (SELECT DISTINCT p_brand AS subject, p_size % 11 AS prefix FROM part WHERE p_size % 3 = 0), o AS (SELECT prefix FROM s WHERE subject = (SELECT min(p_brand) FROM part)),
+@query("""WITH s AS (SELECT DISTINCT p_brand AS subject, p_size % 11 AS prefix FROM part), o AS (SELECT prefix FROM s WHERE subject = (SELECT min(p_brand) FROM part)),
 b AS (SELECT DISTINCT subject FROM s WHERE prefix IN (SELECT prefix FROM o))
-SELECT DISTINCT p_type AS code FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_brand IN (SELECT subject FROM b) AND p_size > 40)""")
+SELECT DISTINCT p_name || '-' || p_size AS code FROM part WHERE p_name || '-' || p_size NOT IN (SELECT p_name || '-' || p_size FROM part WHERE p_brand IN (SELECT subject FROM b) AND p_size > 40)""")
 def sibling_gap(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    subjects = p.filter("p_size % 3 = 0").groupBy(F.col("p_brand").alias("subject")).agg(F.collect_set(F.col("p_size") % 11).alias("prefixes"))
-    used = p.filter("p_size > 40").select(F.col("p_brand").alias("subject"), F.col("p_type").alias("code"))
+    p = table(spark, sf_dir, "part").withColumn("code", F.concat_ws("-", "p_name", F.col("p_size").cast("string")))
+    subjects = p.groupBy(F.col("p_brand").alias("subject")).agg(F.collect_set(F.col("p_size") % 11).alias("prefixes"))
+    used = p.filter("p_size > 40").select(F.col("p_brand").alias("subject"), "code")
     first = p.agg(F.min("p_brand")).first()[0]
-    return reconcile.sibling_gaps(p.select(F.col("p_type").alias("code")).distinct(), subjects, used, first)
+    return reconcile.sibling_gaps(p.select("code").distinct(), subjects, used, first)
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderpriority IS NULL OR o_custkey IS NULL THEN 'incomplete' WHEN c_custkey IS NULL THEN 'unknown code' WHEN NOT starts_with(c_mktsegment, 'A') THEN 'out of scope' WHEN l_orderkey IS NULL THEN 'no item' END AS reason
@@ -167,18 +167,18 @@ def box_clusters(spark, sf_dir):
     return layout.box_clusters(table(spark, sf_dir, "supplier").selectExpr(*_BOX.split(", ")), "page", "box_id", 20.0)
 
 
-@query("""WITH d AS (SELECT p_brand, p_size % 37 * 3 AS x, count(*) AS n FROM part WHERE p_size % 4 > 0 GROUP BY ALL), g AS (SELECT *, CASE WHEN x - lag(x) OVER w <= 4 THEN 0 ELSE 1 END AS s FROM d WINDOW w AS (PARTITION BY p_brand ORDER BY x)),
+@query("""WITH d AS (SELECT p_brand, p_size % 37 * 3 + CASE WHEN p_size % 37 > 18 THEN 40 ELSE 0 END AS x, count(*) AS n FROM part GROUP BY ALL), g AS (SELECT *, CASE WHEN x - lag(x) OVER w <= 4 THEN 0 ELSE 1 END AS s FROM d WINDOW w AS (PARTITION BY p_brand ORDER BY x)),
 c AS (SELECT *, sum(s) OVER (PARTITION BY p_brand ORDER BY x) AS cluster FROM g)
 SELECT p_brand, CAST(cluster AS BIGINT) AS cluster, min(x) AS min_x, arg_max(x, n * 1000 - x) AS modal_x, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL""")
 def column_clusters(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size % 4 > 0").select("p_brand", (F.col("p_size") % 37 * 3).alias("x"))
+    p = table(spark, sf_dir, "part").selectExpr("p_brand", "p_size % 37 * 3 + CASE WHEN p_size % 37 > 18 THEN 40 ELSE 0 END AS x")
     return layout.column_clusters(p, "p_brand", "x", 4)
 
 
-@query("""WITH r AS (SELECT l_returnflag AS doc, l_linenumber AS page, l_suppkey % 40 AS x FROM lineitem WHERE l_quantity < 3), a AS (SELECT doc, count(DISTINCT page) AS n FROM r GROUP BY 1)
+@query("""WITH r AS (SELECT l_returnflag AS doc, l_linenumber AS page, l_partkey % 2000 AS x FROM lineitem), a AS (SELECT doc, count(DISTINCT page) AS n FROM r GROUP BY 1)
 SELECT doc, x, count(DISTINCT page) AS n_pages FROM r JOIN a USING (doc) GROUP BY doc, x, n HAVING count(DISTINCT page) >= 0.5 * n""")
 def rules_on_many_pages(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity < 3").selectExpr("l_returnflag AS doc", "l_linenumber AS page", "l_suppkey % 40 AS x")
+    li = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS doc", "l_linenumber AS page", "l_partkey % 2000 AS x")
     return layout.on_many_pages(li, "doc", "page", "x")
 
 
