@@ -7,13 +7,14 @@ next one reads it; all but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import langid, mixing, packing, pii, simhash
-from orrery.llm.common import cut, shared_dir
+from orrery.llm.common import cut, remove, shared_dir, tracked
 from orrery.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -45,12 +46,34 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(cut(packing.pieces(docs, tokenizer())))
 
 
+_spent: dict[str, list[str]] = {}
+
+
+def _swept(stage):
+    """A stage that first deletes what the stage before left in the shared folder.
+
+    A stage's result is written and reread before the next one begins, so the
+    tables behind it are spent by then. They are kept per input, so that runs
+    over other inputs keep theirs.
+    """
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _spent.pop(sf_dir, []))
+        with tracked() as made:
+            out = stage(spark, docs, sf_dir)
+        _spent[sf_dir] = made
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language ID", language),
-    ("SimHash near-dedup", near_duplicates),
-    ("PII", personal_data),
-    ("mixing sources", mixture),
-    ("best-fit packing", packed),
+    ("language ID", _swept(language)),
+    ("SimHash near-dedup", _swept(near_duplicates)),
+    ("PII", _swept(personal_data)),
+    ("mixing sources", _swept(mixture)),
+    ("best-fit packing", _swept(packed)),
 ]
 #: Compression, tokenising and packing are beyond SQL; tests check run() against plain Python.
 ORACLE_SQL = None

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 _own_dirs: dict[str, str] = {}
+_tracked: list[list[str]] = []
 
 #: A word is a maximal run without these six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
@@ -38,6 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[key]
 
 
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """A list of the tables that `cut` writes meanwhile."""
+    made: list[str] = []
+    _tracked.append(made)
+    try:
+        yield made
+    finally:
+        _tracked.remove(made)
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete tables that nothing reads any more; shuffles of dropped plans go with them."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if paths:
+        spark._jvm.System.gc()
+
+
 def cut(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
@@ -46,6 +68,8 @@ def cut(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     it is read.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    for made in _tracked:
+        made.append(path)
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

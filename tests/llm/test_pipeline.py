@@ -12,13 +12,14 @@ from orrery.llm.queries import tokenizer
 SF = "/root/testdata/sf0.001"
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     frames = [docs]
     for _, stage in corpus_pipeline.STAGES:
-        frames.append(stage(spark, frames[-1], SF).persist())
+        stage(spark, frames[-1], SF).write.parquet(f"{tmp_path}/{len(frames)}")
+        frames.append(spark.read.parquet(f"{tmp_path}/{len(frames)}"))
         if len(frames) < 6:
             assert frames[-1].columns == docs.columns
     rows = [f.collect() for f in frames]
