@@ -278,18 +278,16 @@ def _deal(bits: int, blocks: int):
     """(rep, fp) rows in; a row per block out: its place, rep, fp."""
 
     def run(it):
-        for batch in it:
-            n = batch.num_rows
-            if not n:
-                continue
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
-            on = np.unpackbits(raw, axis=1, bitorder="little")[:, : bits * blocks].reshape(n, blocks, bits)
-            value = (on * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
-            place = WideHasher._mix(value * np.uint64(blocks) + np.arange(blocks, dtype=np.uint64)).view(np.int64)
-            for s in range(0, n, 4096 // blocks + 1):
-                e = min(n, s + 4096 // blocks + 1)
-                at = pa.array(np.repeat(np.arange(s, e), blocks))
-                yield pa.RecordBatch.from_arrays([pa.array(place[s:e].ravel()), batch.column(0).take(at), batch.column(1).take(at)], ["place", "rep", "fp"])
+        at_once = 4096 // blocks + 1
+        for whole in it:
+            for s in range(0, whole.num_rows, at_once):
+                batch = whole.slice(s, at_once)
+                raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                on = np.unpackbits(raw, axis=1, bitorder="little")[:, : bits * blocks].reshape(-1, blocks, bits)
+                value = (on * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+                place = WideHasher._mix(value * np.uint64(blocks) + np.arange(blocks, dtype=np.uint64)).view(np.int64)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), blocks))
+                yield pa.RecordBatch.from_arrays([pa.array(place.ravel()), batch.column(0).take(at), batch.column(1).take(at)], ["place", "rep", "fp"])
 
     return run
 
