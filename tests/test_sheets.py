@@ -39,17 +39,39 @@ def test_question_starts_equal_brute_force():
 def test_question_starts_give_up():
     assert sheets.question_starts("", 1) is None
     assert sheets.question_starts("2. b\n1. a", 2) is None
-    assert sheets.question_starts("1. a\n" * 142, 1) is None  # 142 squared is above the budget
+    assert sheets.question_starts("1. a\n" * 142, 1) == [0]  # 142 squared is above the budget: each number's first start in turn
     assert sheets.question_starts("1. a\n" * 141, 1) == [0]
 
 
-def test_readers_without_a_whole_sheet():
-    assert sheets.circled([], 2) == {} and sheets.with_or_without_points([], 2) == {}
-    assert sheets.circled(["1①", "2"], 2) == {}
-    assert sheets.circled(["1①", "2", "없음"], 2) == {1: (1, None), 2: (0, None)}
-    assert sheets.with_or_without_points(["1", "①", "2", "1", "②"], 2) == {1: (1, None), 2: (1, None)}  # two cells cover
-    assert sheets.with_or_without_points(["1", "①", "2", "9"], 2) == {1: (1, 2)}
-    assert sheets.with_or_without_points(["1", "①", "2", "②"], 2) == {1: (1, None), 2: (2, None)}
+def read(spark, reader, *sheets_, count=2):
+    d = spark.createDataFrame(list(enumerate(sheets_)), "k int, t array<string>")
+    got = [{} for _ in sheets_]
+    for r in sheets.cells(d, "k", "t", count, reader).collect():
+        got[r.k][r.number] = r.answer, r.points
+    return got
+
+
+def test_readers_without_a_whole_sheet(spark):
+    assert read(spark, sheets.circled, [], None, ["1①", "2"], ["1①", "2", "없음"]) == [{}, {}, {}, {1: (1, None), 2: (0, None)}]
+    two, three = {1: (1, None), 2: (1, None)}, {1: (1, 2)}
+    assert read(spark, sheets.with_or_without_points, [], None, ["1", "①", "2", "1", "②"], ["1", "①", "2", "9"], ["1", "①", "2", "②"]) == [{}, {}, two, three, {1: (1, None), 2: (2, None)}]
+
+
+def test_circled_chains(spark):
+    glued, apart = ["1①", "2②", "3③"], ["1", "①", "2", "②", "3", "③"]
+    whole = {1: (1, None), 2: (2, None), 3: (3, None)}
+    stranger = ["1①", "88", "2②", "3③"]
+    two = ["1①", "88", "2②", "89", "3③"]
+    again = ["1⑤", "9", "9", *glued]  # the first chain breaks, the second is whole
+    plain = ["1", "1", "2", "2", "3", "3"]  # bare digits are no circled answers
+    assert read(spark, sheets.circled, glued, apart, stranger, two, again, plain, count=3) == [whole, whole, whole, {}, whole, {}]
+    assert read(spark, lambda t, n: sheets.circled(t, n, skips=2), two, count=3) == [whole]
+    assert read(spark, sheets.circled, ["x", "1③"], count=1) == [{1: (3, None)}]
+
+
+def test_strides_take_no_overlapping_cells(spark):
+    # 1-2 is taken first, so 2-3 inside it begins no cell; a number counts once
+    assert read(spark, lambda t, n: sheets.strides(t, n, False), ["1", "2", "3", "4"], ["1", "2", "1", "3"], ["9", "1", "2"], count=3) == [{1: (2, None), 3: (4, None)}, {1: (2, None)}, {1: (2, None)}]
 
 
 def test_columnar_blocks(spark):
