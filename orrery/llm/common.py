@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -110,6 +111,30 @@ def running(df: DataFrame, order: Sequence[Column], value: Column, out: str, blo
     return s.join(t, "_blk").withColumn(out, F.col("_base") + F.col("_in")).drop("_m", "_v", "_blk", "_in", "_base")
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system, where its C library can.
+
+    Workers live on from task to task and stage to stage, and what one task has
+    freed else stays with the worker, beside the executor's own memory.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's generator that gives its memory back when it ends."""
+
+    def to_the_end(it: Iterator) -> Iterator:
+        try:
+            yield from run(it)
+        finally:
+            give_back()
+
+    return to_the_end
+
+
 def arrow_map(df: DataFrame, fn: Callable[[list[list]], dict[str, list]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with Python lists: fn gets a list per input column and returns a list per output column."""
     struct = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -120,7 +145,7 @@ def arrow_map(df: DataFrame, fn: Callable[[list[list]], dict[str, list]], schema
             if b.num_rows:
                 yield pa.RecordBatch.from_pydict(fn([c.to_pylist() for c in b.columns]), schema=target)
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(thrifty(run), struct)
 
 
 def text_of(df: DataFrame, text: str = "text") -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import arrow_map, free
+from .common import arrow_map, free, give_back
 
 SAMPLE_ROWS = 128
 #: Characters of a chunk of a sampled text, and the bytes a dictionary aims at.
@@ -128,6 +128,7 @@ def accepted(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     def judge(texts: pa.Array) -> pa.Array:
         classify = classifier(dictionaries)
         got = [classify(t) for t in texts.to_pylist()]
+        give_back()
         return pa.array([{"lang": g[0], "ok": g[0] != "und" and g[2] >= max(least, narrow * g[3])} for g in got], pa.struct([("lang", pa.string()), ("ok", pa.bool_())]))
 
     judged = free(df, "judged")

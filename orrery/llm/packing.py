@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, thrifty
 
 LENGTH = 4_096
 END_ID = 1
@@ -162,7 +162,7 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(key, b.schema.field(0).type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]))
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return df.select(key, text).mapInArrow(thrifty(run), f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, capacity: int = LENGTH, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, give_back
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -321,6 +321,8 @@ def masked(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns, with the text's personal data replaced."""
     @F.arrow_udf("string")
     def hide(texts: pa.Array) -> pa.Array:
-        return pa.array([mask(t) for t in texts.to_pylist()], pa.string())
+        hidden = pa.array([mask(t) for t in texts.to_pylist()], pa.string())
+        give_back()
+        return hidden
 
     return df.withColumn(text, hide(text))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, free
+from .common import arrow_map, cut, free, thrifty
 from .components import components
 
 SEED = 42
@@ -267,7 +267,7 @@ def links(classes: DataFrame, radius: int, blocks: int, agree: int) -> DataFrame
     masks = agreeing(agree, blocks)
     choices = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))).alias("place"), F.lit(i).cast("short").alias("choice")) for i, m in enumerate(masks)]))
     met = classes.select(choices.alias("k"), "fp").select("k.place", "k.choice", "fp").repartition("place").sortWithinPartitions("place", "choice")
-    return met.mapInArrow(_meet(masks, radius), "a long, b long")
+    return met.mapInArrow(thrifty(_meet(masks, radius)), "a long, b long")
 
 
 #: Places up to this size compare their members pair by pair, many places at once.
@@ -371,8 +371,8 @@ def near(df: DataFrame, row: str, text: str = "text", shingle: int = 5) -> DataF
 
     d = cut(arrow_map(df.select(row, text), of, "row long, fp binary"))
     classes = cut(d.groupBy("fp").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")))
-    dealt = classes.select("rep", "fp").mapInArrow(_deal(bits, blocks), "place long, rep long, fp binary")
-    met = dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_meet_wide(radius), "a long, b long")
+    dealt = classes.select("rep", "fp").mapInArrow(thrifty(_deal(bits, blocks)), "place long, rep long, fp binary")
+    met = dealt.repartition("place").sortWithinPartitions("place").mapInArrow(thrifty(_meet_wide(radius)), "a long, b long")
     roots = components(met)
     of_class = cut(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").filter("n > 1 OR root IS NOT NULL").select("fp", F.coalesce("root", "rep").alias("root")))
     return d.join(of_class, "fp").select(F.col("row").alias(row), "root")
