@@ -18,13 +18,14 @@ gives `und` throughout.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import arrow_map, free, give_back
+from .common import arrow_map, free, small_batches, thrifty
 
 SAMPLE_ROWS = 128
 #: Characters of a chunk of a sampled text, and the bytes a dictionary aims at.
@@ -113,8 +114,12 @@ def classifier(dictionaries: dict[str, bytes], block: int = BLOCK_BYTES, level:
 def predict(df: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text", narrow: float = NARROW, least: int = LEAST_BYTES) -> DataFrame:
     """A row per document: lang_pred, score, margin and whether the margin suffices."""
 
+    built: list = []
+
     def run(cols: list[list]) -> dict[str, list]:
-        classify = classifier(dictionaries)
+        # built once a task, which gets its own copy of this function
+        classify = built[0] if built else classifier(dictionaries)
+        built[:] = [classify]
         got = [classify(t) for t in cols[1]]
         return {key: cols[0], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "margin": [g[2] for g in got], "accepted": [g[0] != "und" and g[2] >= max(least, narrow * g[3]) for g in got]}
 
@@ -124,12 +129,17 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id",
 def accepted(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", lang: str = "lang", narrow: float = NARROW, least: int = LEAST_BYTES) -> DataFrame:
     """All columns of the documents whose language is clear, `lang` set to it."""
 
-    @F.arrow_udf("struct<lang: string, ok: boolean>")
-    def judge(texts: pa.Array) -> pa.Array:
+    small_batches(df.sparkSession)
+
+    def judged_batches(batches):
         classify = classifier(dictionaries)
-        got = [classify(t) for t in texts.to_pylist()]
-        give_back()
-        return pa.array([{"lang": g[0], "ok": g[0] != "und" and g[2] >= max(least, narrow * g[3])} for g in got], pa.struct([("lang", pa.string()), ("ok", pa.bool_())]))
+        for texts in batches:
+            got = [classify(t) for t in texts.to_pylist()]
+            yield pa.array([{"lang": g[0], "ok": g[0] != "und" and g[2] >= max(least, narrow * g[3])} for g in got], pa.struct([("lang", pa.string()), ("ok", pa.bool_())]))
+
+    @F.arrow_udf("struct<lang: string, ok: boolean>")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return thrifty(judged_batches)(batches)
 
     judged = free(df, "judged")
     out = df.withColumn(judged, judge.asNondeterministic()(text)).filter(F.col(judged)["ok"])

@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, thrifty
+from .common import arrow_map, cut, small_batches, thrifty
 
 LENGTH = 4_096
 END_ID = 1
 #: Pieces packed together in one task; a group leaves about half a sequence open.
 GROUP = 6_000
 #: Word stems remembered by a worker.
-REMEMBER = 250_000
+REMEMBER = 100_000
 
 #: A line's stem and what follows it; two empty groups for a line of another make. ß and ÿ have no one-letter upper case here.
 _PLAIN = re.compile(r"(?m)^(?:([a-zà-öø-ÿ]*[a-zà-öø-þ])(?<!ß)([.,!?;:|#$%&*=()\"-]*)$|[^\n]*$)")
@@ -145,6 +145,7 @@ def _portions(texts: pa.Array, size: int = 4_000_000):
 
 def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """key, piece, start, length, ids_crc32 and ids (little-endian uint32) of every document's pieces."""
+    small_batches(df.sparkSession)
     end = array("I", [end_id]).tobytes()
 
     def run(batches):

@@ -18,12 +18,13 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, give_back
+from .common import arrow_map, small_batches, thrifty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -319,10 +320,10 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def masked(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns, with the text's personal data replaced."""
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("string")
-    def hide(texts: pa.Array) -> pa.Array:
-        hidden = pa.array([mask(t) for t in texts.to_pylist()], pa.string())
-        give_back()
-        return hidden
+    def hide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return thrifty(lambda it: (pa.array([mask(t) for t in texts.to_pylist()], pa.string()) for texts in it))(batches)
 
     return df.withColumn(text, hide(text))
