@@ -35,6 +35,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +51,12 @@ BATCH = 1_024
 SHARD = 16_384
 #: A hash that more anchors share is dealt on by whole strings, not in one shard.
 HOT = 20_000
+#: Texts are joined up to so many bytes for one round of array operations, which cost short texts more than their bytes do.
+JOINED = 1 << 18
 
 _RNG = np.random.default_rng(0x5EED)
 TABLE1, TABLE2 = (_RNG.integers(1, 1 << 63, 256, dtype=np.uint64) for _ in range(2))
+LOW = np.uint64(0xFFFFFFFF)
 BASE1, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -100,63 +104,63 @@ class Roller:
         """raw: bytes along the last axis."""
         return self.rolled(self.table[raw], width)
 
-    def words(self, raw: np.ndarray) -> np.ndarray:
-        """A hash of each word of a text: prefix sums at its ends."""
+    def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each word: prefix sums at its ends."""
         solid = np.zeros(len(raw) + 2, np.int8)
         solid[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
         step = np.diff(solid)
         a, z = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         sums = self._sums(self.table[raw])
-        return _mix((sums[z] - sums[a]) * self.neg[a])
+        return a, _mix((sums[z] - sums[a]) * self.neg[a])
 
 
-def anchors(raw: np.ndarray, roller: Roller, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first, last): every string of `length` bytes picks its leftmost gram of the smallest hash.
+def _joined(raws: list[bytes], size: int = JOINED):
+    """(i, j, whole, begin, end): texts i..j-1 in one string with a space between, and where each begins and ends."""
+    i = 0
+    while i < len(raws):
+        j, n = i + 1, len(raws[i])
+        while j < len(raws) and n + len(raws[j]) < size:
+            n += 1 + len(raws[j])
+            j += 1
+        sizes = np.fromiter(map(len, raws[i:j]), np.int64, j - i)
+        end = np.cumsum(sizes + 1) - 1
+        yield i, j, b" ".join(raws[i:j]), end - sizes, end
+        i = j
+
+
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """The minimum of each window of w values."""
+    n = 1
+    while 2 * n <= w:
+        x = np.minimum(x[:-n], x[n:])
+        n *= 2
+    return np.minimum(x[: len(x) - (w - n)], x[w - n :]) if w > n else x
+
+
+def _within(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All positions from begin[i] to before stop[i], in turn."""
+    n = np.maximum(stop - begin, 0)
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
+def _picked(h: np.ndarray, w: int, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first, last): every string picks, of its w grams, the leftmost whose hash has the smallest upper half.
 
     An anchor is a picked gram; the strings that pick it start at first..last.
+    h holds the gram hashes of joined texts, whose strings start at begin[i] to
+    before stop[i]; what crosses from a text to the next is no string.
     """
-    return _picked(roller.hashes(raw, gram) if len(raw) >= length else np.zeros(0, np.uint64), length - gram + 1)
-
-
-def _picked(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """`anchors` of the gram hashes h, w of them in a string."""
-    n = len(h)
-    if n < w:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pad = -(-n // w) * w
-    x = np.full(pad, np.iinfo(np.uint64).max, np.uint64)
-    x[:n] = h
-    b = x.reshape(-1, w)
-    left, right = np.minimum.accumulate(b, axis=1).ravel(), np.minimum.accumulate(b[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[: n - w + 1], left[w - 1 : n])  # of the window that starts at i
-    # leftmost occurrence of a window's least hash: candidates are positions that are least in some window
-    at = np.flatnonzero(h == _widest(least, w, n))
-    first = np.searchsorted(at, np.arange(n - w + 1))
-    pick = at[first]
-    # the next candidate may belong to another window: step on until the hash is this window's
-    wrong = h[pick] != least
-    while wrong.any():
-        first[wrong] += 1
-        pick = at[first]
-        wrong = h[pick] != least
-    lo = np.flatnonzero(np.r_[True, pick[1:] != pick[:-1]])  # picks never step back
-    return h[pick[lo]], lo, np.r_[lo[1:], len(pick)] - 1
-
-
-def _widest(least: np.ndarray, w: int, n: int) -> np.ndarray:
-    """Per position the largest of the minima of the windows that hold it: equal to its hash iff it is least in one."""
-    m = len(least)
-    total = m + 2 * (w - 1)
-    pad = -(-total // w) * w
-    x = np.zeros(pad, np.uint64)
-    x[w - 1 : w - 1 + m] = least
-    b = x.reshape(-1, w)
-    left, right = np.maximum.accumulate(b, axis=1).ravel(), np.maximum.accumulate(b[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.maximum(right[:n], left[w - 1 : w - 1 + n])
+    at = _within(begin, stop)
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at
+    place = np.arange(len(h), dtype=np.uint64)
+    pick = (_least((h & ~LOW) | place, w)[at] & LOW).astype(np.int64)
+    lo = np.flatnonzero(np.concatenate(([True], pick[1:] != pick[:-1])))  # picks never step back
+    return h[pick[lo]], at[lo], at[np.append(lo[1:], len(at)) - 1]
 
 
 class Levels:
-    """A family of sorted arrays of (hash, check, owner, text); equal-sized levels merge."""
+    """A family of arrays of (hash, check, owner, text) in the order of hashes; equal-sized levels merge."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, ...]] = []
@@ -167,14 +171,17 @@ class Levels:
         Equal strings repeat if their `text` differs; whoever counts repeats
         within a text as well gives every string a text of its own.
         """
-        order = np.lexsort((text, c, h))
+        if not len(h):
+            return
+        order = np.argsort(h)
+        again = h[order][1:] == h[order][:-1]
+        if (again & (c[order][1:] != c[order][:-1])).any():  # strings of one hash but other checks
+            order = np.lexsort((c, h))
         h, c, owner, text = h[order], c[order], owner[order], text[order]
-        same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-        first = np.r_[True, ~same] if len(h) else np.zeros(0, bool)
-        group = np.cumsum(first) - 1
-        last = np.r_[first[1:], True] if len(h) else first
+        first = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+        at = np.flatnonzero(first)
         uh, uc, uo, ut = h[first], c[first], owner[first], text[first]
-        wide = ut != text[last]
+        wide = np.minimum.reduceat(text, at) != np.maximum.reduceat(text, at)
         met = np.zeros(len(uh), bool)
         for lh, lc, lo, lt in self.levels:
             at = np.searchsorted(lh, uh)
@@ -194,13 +201,13 @@ class Levels:
                 more = at[i] < len(lh)
                 more[more] = lh[at[i[more]]] == uh[i[more]]
                 open_[i[~more]] = False
-        seen[owner[wide[group]]] = True
+        seen[owner[wide[np.cumsum(first) - 1]]] = True
         fresh = ~met
         self.levels.append((uh[fresh], uc[fresh], uo[fresh], ut[fresh]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             b, a = self.levels.pop(), self.levels.pop()
             h, c, o, t = (np.concatenate(x) for x in zip(a, b))
-            order = np.lexsort((c, h))
+            order = np.argsort(h, kind="stable")  # two runs in order: a merge
             self.levels.append((h[order], c[order], o[order], t[order]))
 
 
@@ -222,28 +229,21 @@ ANCHORS = "tid binary, unit byte, h long, lo int, hi int"
 def _list_anchors(length: int, gram: int):
     def run(batches):
         roller = Roller(TABLE1, BASE1)
+        least = min(length, 2 * PASSAGE - 1)
         for b in batches:
-            tid, unit, hs, lo, hi = [], [], [], [], []
-            for t in b.column(0).to_pylist():
-                raw = (t or "").encode()
-                if len(raw) < min(length, 2 * PASSAGE - 1):
-                    continue
-                arr = np.frombuffer(raw, np.uint8)
-                ws = roller.words(arr)
-                found = [(BYTES, anchors(arr, roller, length, gram))]
+            raws = [raw for t in b.column(0).to_pylist() if len(raw := (t or "").encode()) >= least]
+            names = pa.array([hashlib.sha256(raw).digest()[:16] for raw in raws], pa.binary())
+            for i, _, whole, begin, end in _joined(raws):
+                arr = np.frombuffer(whole, np.uint8)
+                at, ws = roller.words(arr)
+                first, stop = np.searchsorted(at, begin), np.searchsorted(at, end)  # words of each text
+                found = [(BYTES, begin, _picked(roller.hashes(arr, gram), length - gram + 1, begin, end - length + 1))] if len(arr) >= length else []
                 if len(ws) >= PASSAGE:
-                    found.append((WORDS, _picked(roller.rolled(ws, WORD_GRAM), PASSAGE - WORD_GRAM + 1)))
-                name = hashlib.sha256(raw).digest()[:16]
-                for u, x in found:
-                    if len(x[0]):
-                        tid.append(name)
-                        unit.append(u)
-                        for out, y in zip((hs, lo, hi), x):
-                            out.append(y)
-            if tid:
-                n = np.repeat(np.arange(len(tid)), list(map(len, lo)))
-                ids = pa.array(tid, pa.binary()).take(pa.array(n))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(unit, np.int8)[n]), pa.array(np.concatenate(hs).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (lo, hi))], ["tid", "unit", "h", "lo", "hi"])
+                    found.append((WORDS, first, _picked(roller.rolled(ws, WORD_GRAM), PASSAGE - WORD_GRAM + 1, first, stop - PASSAGE + 1)))
+                for unit, start, (h, lo, hi) in found:
+                    if len(h):
+                        k = np.searchsorted(start, lo, "right") - 1
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(i + k)), pa.array(np.full(len(h), unit, np.int8)), pa.array(h.view(np.int64)), *(pa.array((x - start[k]).astype(np.int32)) for x in (lo, hi))], ["tid", "unit", "h", "lo", "hi"])
 
     return run
 
@@ -253,7 +253,7 @@ _NEAR = pa.schema([("tid", pa.binary()), ("unit", pa.int8()), ("h", pa.int64()),
 
 def _passages(raw: np.ndarray, rollers: tuple[Roller, Roller]) -> np.ndarray:
     """(strings of PASSAGE words, 2): hash and check of each."""
-    ws = rollers[0].words(raw)
+    _, ws = rollers[0].words(raw)
     return np.stack([r.rolled(ws, PASSAGE) for r in rollers], axis=1) if len(ws) >= PASSAGE else np.zeros((0, 2), np.uint64)
 
 
@@ -263,44 +263,52 @@ def _surroundings(length: int):
     def run(batches):
         rollers = Roller(TABLE1, BASE1), Roller(TABLE2, BASE2)
         for b in batches:
-            out = {c: [] for c in _NEAR.names}
-            for r in b.to_pylist():
-                raw, hashed = r["text"].encode(), None
-                for x in r["marks"]:
-                    if x["unit"] == WORDS:
-                        hashed = _passages(np.frombuffer(raw, np.uint8), rollers) if hashed is None else hashed
-                        near = hashed[x["lo"] : x["hi"] + 1].tobytes()
+            raws, marks, tids = [t.encode() for t in b.column("text").to_pylist()], b.column("marks"), b.column("tid")
+            counts, flat = marks.value_lengths().to_numpy(), marks.flatten()
+            text = np.repeat(np.arange(len(raws)), counts)
+            unit, h, lo, hi = (flat.field(k).to_numpy() for k in ("unit", "h", "lo", "hi"))
+            for i, j, whole, begin, _ in _joined(raws):
+                here = slice(*np.searchsorted(text, (i, j)).tolist())
+                for u in (BYTES, WORDS):
+                    m = here.start + np.flatnonzero(unit[here] == u)
+                    if not len(m):
+                        continue
+                    if u == WORDS:
+                        arr = np.frombuffer(whole, np.uint8)
+                        first = np.searchsorted(rollers[0].words(arr)[0], begin)
+                        source, scale, start, more = _passages(arr, rollers).tobytes(), 16, first, 1
                     else:
-                        near = raw[x["lo"] : x["hi"] + length]
-                    for k, v in zip(out, (r["tid"], x["unit"], x["h"], x["lo"], near)):
-                        out[k].append(v)
-                if len(out["lo"]) >= 4096:
-                    yield pa.RecordBatch.from_pydict(out, schema=_NEAR)
-                    out = {k: [] for k in out}
-            if out["lo"]:
-                yield pa.RecordBatch.from_pydict(out, schema=_NEAR)
+                        source, scale, start, more = whole, 1, begin, length
+                    a = (start[text[m] - i] + lo[m]) * scale
+                    z = a + (hi[m] - lo[m] + more).astype(np.int64) * scale
+                    for o in range(0, len(m), 4096):
+                        p = m[o : o + 4096]
+                        near = [source[x:y] for x, y in zip(a[o : o + 4096].tolist(), z[o : o + 4096].tolist())]
+                        yield pa.RecordBatch.from_arrays([tids.take(pa.array(text[p])), *map(pa.array, (unit[p], h[p], lo[p])), pa.array(near, pa.binary())], schema=_NEAR)
 
     return run
 
 
-def _strings(b: pa.RecordBatch, rollers: tuple[Roller, Roller], length: int, width: int):
-    """Hashes of the strings that pick each anchor: h, check and validity, a row per anchor; and which anchors are of words."""
-    near, words = b.column("near").to_pylist(), b.column("unit").to_numpy() == WORDS
-    n = len(near)
-    h, c, valid = np.zeros((n, width), np.uint64), np.zeros((n, width), np.uint64), np.zeros((n, width), bool)
-    at = np.flatnonzero(~words)
-    raw = np.zeros((len(at), width - 1 + length), np.uint8)
-    for k, i in enumerate(at.tolist()):
-        raw[k, : len(near[i])] = np.frombuffer(near[i], np.uint8)
-    if len(at):
-        h[at], c[at] = (r.hashes(raw, length) for r in rollers)
-        size = np.fromiter((len(near[i]) for i in at.tolist()), np.int64, len(at))
-        valid[at] = np.arange(width) <= (size - length)[:, None]
-    for i in np.flatnonzero(words).tolist():
-        x = np.frombuffer(near[i], np.uint64).reshape(-1, 2)
-        h[i, : len(x)], c[i, : len(x)], valid[i, : len(x)] = x[:, 0], x[:, 1], True
-    h ^= _mix(b.column("h").to_numpy().view(np.uint64))[:, None]
-    return h, c, valid, words
+def _strings(b: pa.RecordBatch, rollers: tuple[Roller, Roller], length: int):
+    """The strings that pick each anchor: h, check, the anchor's row and the string's number in it; and which anchors are of words."""
+    near, words = b.column("near"), b.column("unit").to_numpy() == WORDS
+    size = pc.binary_length(near).to_numpy().astype(np.int64)
+    rows = np.flatnonzero(~words)
+    out = []
+    if len(rows):
+        raw = np.frombuffer(b"".join(near.take(pa.array(rows)).to_pylist()), np.uint8)
+        end = np.cumsum(size[rows])
+        at = _within(end - size[rows], end - length + 1)
+        out.append((rows, size[rows] - length + 1, [r.hashes(raw, length)[at] for r in rollers]))
+    rows = np.flatnonzero(words)
+    if len(rows):
+        x = np.frombuffer(b"".join(near.take(pa.array(rows)).to_pylist()), np.uint64).reshape(-1, 2)
+        out.append((rows, size[rows] // 16, [x[:, 0], x[:, 1]]))
+    h, c = (np.concatenate([x[k] for _, _, x in out]) for k in (0, 1))
+    n = np.concatenate([n for _, n, _ in out])
+    row = np.repeat(np.concatenate([r for r, _, _ in out]), n)
+    h = h ^ _mix(b.column("h").to_numpy().view(np.uint64))[row]
+    return h, c, row, _within(np.zeros(len(n), np.int64), n), words
 
 
 def _width(length: int, gram: int) -> int:
@@ -319,16 +327,18 @@ def _scan(length: int, gram: int, batch: int):
         for whole in batches:
             for o in range(0, whole.num_rows, batch):
                 b = whole.slice(o, batch)
-                h, c, valid, words = _strings(b, rollers, length, width)
+                h, c, row, col, words = _strings(b, rollers, length)
                 need = (n + b.num_rows) * width
                 if need > len(seen):
                     seen = np.concatenate([seen, np.zeros(max(need, 2 * len(seen)) - len(seen), bool)])
-                owner = (np.arange(b.num_rows)[:, None] + n) * width + np.arange(width)
-                text = -1 - owner  # bytes: repeats within a text count
-                ids = b.column("tid").to_pylist()
+                owner = (row + n) * width + col
+                # bytes: repeats within a text count; so every string is a text of its own
+                text, ids = -1 - owner, b.column("tid").to_pylist()
+                number = np.zeros(b.num_rows, np.int64)
                 for i in np.flatnonzero(words).tolist():
-                    text[i] = numbers.setdefault(ids[i], len(numbers))
-                family.add(h[valid], c[valid], owner[valid], text[valid], seen)
+                    number[i] = numbers.setdefault(ids[i], len(numbers))
+                text = np.where(words[row], number[row], text)
+                family.add(h, c, owner, text, seen)
                 tids.append(b.column("tid"))
                 units.append(b.column("unit").to_numpy())
                 starts.append(b.column("lo").to_numpy().astype(np.int64))
@@ -344,19 +354,17 @@ def _scan(length: int, gram: int, batch: int):
     return run
 
 
-def _spread(length: int, gram: int):
+def _spread(length: int):
     """Of anchors with a hot hash: a row per string, to be counted by a reduction."""
-    width = _width(length, gram)
 
     def run(batches):
         rollers = Roller(TABLE1, BASE1), Roller(TABLE2, BASE2)
         for whole in batches:
             for o in range(0, whole.num_rows, 1024):
                 b = whole.slice(o, 1024)
-                h, c, valid, words = _strings(b, rollers, length, width)
-                r, j = np.nonzero(valid)
-                at = b.column("lo").to_numpy().astype(np.int64)[r] + j
-                yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(r)), pa.array(words.astype(np.int8)[r]), pa.array(at.astype(np.int32)), pa.array(h[valid].view(np.int64)), pa.array(c[valid].view(np.int64))], ["tid", "unit", "a", "s1", "s2"])
+                h, c, row, col, words = _strings(b, rollers, length)
+                at = b.column("lo").to_numpy().astype(np.int64)[row] + col
+                yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(row)), pa.array(words.astype(np.int8)[row]), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], ["tid", "unit", "a", "s1", "s2"])
 
     return run
 
@@ -434,7 +442,7 @@ def _ranges(texts: DataFrame, length: int, gram: int, batch: int, hot: int) -> D
         many = cut(per.filter(F.col("n") > hot).select("h"))
         near = cut(near)
         near, warm = near.join(many, "h", "left_anti").select(near.columns), near.join(many, "h", "left_semi").select(near.columns)
-        rows = cut(warm.mapInArrow(_spread(length, gram), "tid binary, unit byte, a int, s1 long, s2 long"))
+        rows = cut(warm.mapInArrow(_spread(length), "tid binary, unit byte, a int, s1 long, s2 long"))
         place = F.struct("tid", F.when(F.col("unit") == BYTES, F.col("a")).alias("a"))
         twice = cut(rows.groupBy("unit", "s1", "s2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("NOT (lo <=> hi)").select("unit", "s1", "s2"))
         end = F.col("a") + F.when(F.col("unit") == BYTES, F.lit(length)).otherwise(F.lit(PASSAGE))

@@ -7,6 +7,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -476,6 +477,48 @@ def test_suffix(spark, corpus):
     assert suffix.deduplicated(empty(spark)).count() == 0
 
 
+def listed(texts):
+    b = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    return [r for x in suffix._list_anchors(suffix.LENGTH, suffix.GRAM)(iter([b])) for r in x.to_pylist()]
+
+
+def test_suffix_joins_short_texts(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in rng.integers(0, 260, 300)]
+    texts[3:3] = [None, "", " \t\n" * 60, "é" * 300, "x" * 399, "y" * 400, "z " * 51, " \n" + "v w " * 200 + "\n", "u" * 2000, "\r" * 500]
+    alone = [r for t in texts for r in listed([t])]
+    rounds = []
+    sums = suffix.Roller._sums
+    monkeypatch.setattr(suffix.Roller, "_sums", lambda self, values: rounds.append(len(values)) or sums(self, values))
+    order = lambda rows: sorted(tuple(r.values()) for r in rows)
+    assert order(listed(texts)) == order(alone) and len(alone) > 300
+    assert len(rounds) < len(texts) / 10
+    # every string picks one anchor, and equal strings the same place in them
+    for t in texts[:60]:
+        rows, raw = [r for r in listed([t]) if r["unit"] == suffix.BYTES], (t or "").encode()
+        assert sorted(x for r in rows for x in range(r["lo"], r["hi"] + 1)) == list(range(len(raw) - 399))
+
+
+def test_suffix_levels_of_clashing_hashes():
+    rng = np.random.default_rng(10)
+    h, c, text = (rng.integers(0, n, 600) for n in (40, 6, 3))
+    levels, seen = suffix.Levels(), np.zeros(600, bool)
+    for o in range(0, 600, 50):
+        at = np.arange(o, o + 50)
+        levels.add(h[at].astype(np.uint64), c[at].astype(np.uint64), at, -1 - at, seen)
+    many = collections.Counter(zip(h.tolist(), c.tolist()))
+    assert seen.tolist() == [many[k] > 1 for k in zip(h.tolist(), c.tolist())]
+    levels, seen = suffix.Levels(), np.zeros(600, bool)
+    for o in range(0, 600, 50):
+        at = np.arange(o, o + 50)
+        levels.add(h[at].astype(np.uint64), c[at].astype(np.uint64), at, text[at], seen)
+    of = collections.defaultdict(set)
+    for k in zip(h.tolist(), c.tolist(), text.tolist()):
+        of[k[:2]].add(k[2])
+    met = {(h[i], c[i], text[i]) for i in np.flatnonzero(seen)}  # one of a text's equal strings is enough
+    assert met == {(*k, t) for k, ts in of.items() if len(ts) > 1 for t in ts}
+
+
 def test_suffix_family_meets_earlier_batches(spark, corpus, tmp_path):
     rows = list({t: r for r in corpus if (t := r[1]) and len(t) >= 400}.values())
     family = suffix.Family(spark, str(tmp_path / "family"))
