@@ -49,6 +49,11 @@ def choice_number(t: Column) -> Column:
     return F.when(t.isNull(), F.lit(None)).otherwise(F.coalesce(plain, F.when((F.length(F.trim(t)) == 1) & (at > 0), at), F.lit(0)))
 
 
+def whole(t: Column) -> Column:
+    """The string as an int, null if it is none; what cannot be one is not tried, since each failure of try_cast raises within."""
+    return F.when(t.rlike(r"^[\x00-\x20\x7F]*[+-]?[0-9.]+[\x00-\x20\x7F]*$"), t.try_cast("int"))
+
+
 def tokens(t: Column) -> Column:
     """Letters and digits of Latin and Hangul script, longer than one, not all digits."""
     return F.filter(F.regexp_extract_all(t, F.lit("[가-힣A-Za-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))

@@ -26,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt over as many tasks as a shuffle has, three a core at least.
+
+    What is done to each row of a small file is else done in one task, however
+    many cores there are.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+
+
 def _load() -> None:
     from orrery.plans import analytics, corpus, items, papers, relational, sheets  # noqa: F401
 

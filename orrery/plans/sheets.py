@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import files
 from orrery.operators import layout, reconcile, sheets
-from orrery.plans.registry import query, table
+from orrery.plans.registry import dealt, query, table
 
 _CIRCLES = "'①②③④⑤'"
 
@@ -26,7 +26,7 @@ def paired_answers(spark, sf_dir):
     """A page number, then number and answer by turns; every fourth sheet lacks its third number."""
     cell = "concat_ws('\n', IF(i = 3 AND p_partkey % 4 = 0, '9', cast(i as string)), IF(i = 2 AND p_partkey % 7 = 0, '전항 정답', IF(p_partkey % 2 = 0, cast((p_partkey + i) % 5 + 1 as string), substr(%s, cast((p_partkey + i) %% 5 + 1 as int), 1))))".replace("%s", _CIRCLES).replace("%%", "%")
     text = F.expr(f"concat('9\n정답 및 해설\n', array_join(transform(sequence(1, 4), i -> {cell}), '\n'))")
-    d = table(spark, sf_dir, "part").select("p_partkey", sheets.sheet_tokens(text).alias("t"))
+    d = dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", sheets.sheet_tokens(text).alias("t"))
     return sheets.paired(d, "p_partkey", "t", 4)
 
 

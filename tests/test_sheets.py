@@ -92,3 +92,38 @@ def test_empty_tables_and_nulls(spark):
     d = spark.createDataFrame([(None, None), ("a", [0.0, 0.5, 1.0, None])], "k string, b array<double>")
     assert [r[0] for r in d.select(files.unit_box(F.col("b"))).collect()] == [False, False]
     assert reconcile.with_reason(d, [("no key", F.col("k").isNotNull()), ("null", F.lit(None).cast("boolean"))]).select("reason").toPandas().reason.tolist() == ["no key", "null"]
+
+
+def brute_paired(tokens, count):
+    def answer(t):
+        return 0 if t in sheets.NO_ANSWER else ("12345" + sheets.CIRCLED).index(t) % 5 + 1 if len(t) == 1 and t in "12345" + sheets.CIRCLED else None
+
+    for s in range(len(tokens) - 2 * count + 1):
+        if all(re.fullmatch(r"[0-9]+", tokens[s + 2 * i]) and int(tokens[s + 2 * i]) == i + 1 and answer(tokens[s + 2 * i + 1]) is not None for i in range(count)):
+            return {i + 1: answer(tokens[s + 2 * i + 1]) for i in range(count)}
+    return {}
+
+
+def test_paired_equals_brute_force(spark):
+    r = random.Random(3)
+    rows = [[r.choice(["1", "2", "01", "①", "⑤", "없음", "x"]) for _ in range(r.randint(0, 12))] for _ in range(300)]
+    d = spark.createDataFrame([*enumerate(rows), (300, None)], "k int, t array<string>")
+    got = [{} for _ in range(301)]
+    for x in sheets.paired(d, "k", "t", 2).collect():
+        got[x.k][x.number] = x.answer
+    assert got == [*[brute_paired(x, 2) for x in rows], {}] and sum(map(bool, got)) > 20
+
+
+def test_paired_reads_a_sheet_once(spark):
+    # a filter on a column made of the tokens would be pushed below them, and spell them out at each place that names them
+    d = spark.createDataFrame([(1, "1\n①")], "k int, s string").select("k", sheets.sheet_tokens(F.col("s")).alias("t"))
+    plan = sheets.paired(d, "k", "t", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_a_small_file_is_dealt_to_many_tasks(spark):
+    from orrery.plans import registry
+
+    part = registry.table(spark, "/root/testdata/sf0.001", "part").select("p_partkey")
+    got = registry.dealt(part)
+    assert got.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism and sorted(got.collect()) == sorted(part.collect())
