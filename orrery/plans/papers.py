@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.operators import papers
-from orrery.plans.registry import query, table
+from orrery.plans.registry import dealt, query, table
 
 _TAIL = "CASE doc_id % 4 WHEN 0 THEN repeat('①②③④⑤ ', 12) WHEN 1 THEN repeat('정답 및 해설 ', 4) WHEN 2 THEN '정답표 정답표' ELSE '' END"
 
@@ -25,7 +25,8 @@ def content_kind(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber AS number, CAST(max(CAST(l_quantity AS INTEGER) % 5 + 1) AS INTEGER) AS answer FROM lineitem GROUP BY ALL""")
 def inline_answers(spark, sf_dir):
     one = F.expr("concat(lpad(n, 2, '0'), '. ', a)")
-    d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("n")).agg(F.max(F.col("l_quantity").cast("int") % 5 + 1).cast("string").alias("a"))
+    d = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey")
+    d = d.groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("n")).agg(F.max(F.col("l_quantity").cast("int") % 5 + 1).cast("string").alias("a"))
     d = d.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(one)), "  ").alias("t"))
     return papers.inline_answers(d, "l_orderkey", "t", 99).withColumn("number", F.col("number").cast(table(spark, sf_dir, "lineitem").schema["l_linenumber"].dataType))
 

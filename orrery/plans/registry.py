@@ -26,14 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """Narrow rows dealt over as many tasks as a shuffle has, three a core at least.
+#: Bytes, as Spark estimates the columns read, that one task of `dealt` gets.
+DEALT_BYTES = 4 << 20
 
-    What is done to each row of a small file is else done in one task, however
-    many cores there are.
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Narrow rows of a table, dealt by columns or in turn, over as many tasks as a shuffle has.
+
+    Three a core at least: what is done to each row of a small file is else done
+    in one task, however many cores there are. One for every DEALT_BYTES
+    as well, so that a task's share stays as the table grows.
     """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, -(-size // DEALT_BYTES))
+    return df.repartition(n, *by)
 
 
 def _load() -> None:

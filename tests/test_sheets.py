@@ -127,3 +127,44 @@ def test_a_small_file_is_dealt_to_many_tasks(spark):
     part = registry.table(spark, "/root/testdata/sf0.001", "part").select("p_partkey")
     got = registry.dealt(part)
     assert got.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism and sorted(got.collect()) == sorted(part.collect())
+
+
+def brute_columnar(text, count):
+    """Line by line: blocks of numbers and answers, paired by place."""
+    blocks, after = [([], [])], False
+    for line in re.split(r"\r\n|[\n\x0b\f\r\x85  ]", text):
+        line = line.strip()
+        bare = re.sub(r"[ \t]", "", line)
+        if m := re.fullmatch(r"(0?[1-9]|[1-9][0-9])\.", line):
+            if after:
+                blocks.append(([], []))
+            blocks[-1][0].append(int(m[1]))
+            after = False
+        elif re.fullmatch("[1-5]", line) or bare in sheets.NO_ANSWER:
+            blocks[-1][1].append(0 if bare in sheets.NO_ANSWER else int(line))
+            after = True
+    out = {}
+    for numbers, answers in blocks:
+        for n, a in zip(numbers, answers):
+            if n <= count:
+                out.setdefault(n, a)
+    return out
+
+
+def test_columnar_equals_brute_force(spark):
+    r = random.Random(8)
+    pieces = ["1.", "2.", " 03.", "12.\t", "4", "　" + "5 ", "전항 정답", "없\t음", "없　음", "6", "1. 2", "", "head 7", "1", "①", "10.", "0."]
+    rows = ["".join(r.choice(pieces) + r.choice(["\n", "\n", "\r\n", "\f", " "]) for _ in range(r.randint(0, 14))) for _ in range(400)]
+    d = spark.createDataFrame([*enumerate(rows)], "k int, t string")
+    got = [{} for _ in rows]
+    for x in sheets.columnar(d, "k", "t", 11).collect():
+        assert x.number not in got[x.k]
+        got[x.k][x.number] = x.answer
+    assert got == [brute_columnar(x, 11) for x in rows] and sum(map(bool, got)) > 100
+
+
+def test_columnar_keeps_a_sheet_in_its_task(spark):
+    # windows over exploded lines sort every line of a task's sheets in memory
+    d = spark.createDataFrame([(1, "1.\n2")], "k int, t string")
+    plan = sheets.columnar(d, "k", "t", 9)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Window|Sort|Exchange", plan)
