@@ -37,7 +37,7 @@ def strided_answers(spark, sf_dir):
     """Cells of number, answer and points, or without points."""
     cell = f"concat(i, ' ', substr({_CIRCLES}, cast((p_partkey + i) % 5 + 1 as int), 1), IF(p_partkey % 2 = 0, concat('\n', 2 + i % 2), ''))"
     text = F.expr(f"concat('문항 정답\n', array_join(transform(sequence(1, 5), i -> {cell}), '\n'))")
-    d = table(spark, sf_dir, "part").select("p_partkey", sheets.sheet_tokens(text).alias("t"))
+    d = dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", sheets.sheet_tokens(text).alias("t"))
     return sheets.cells(d, "p_partkey", "t", 5, sheets.with_or_without_points)
 
 
@@ -47,7 +47,7 @@ def circled_answers(spark, sf_dir):
     """Glued or parted cells with a page number among them; two strangers are too many."""
     sign = f"substr({_CIRCLES}, cast((p_partkey + i) % 5 + 1 as int), 1)"
     cell = f"concat(array(), IF(i = 3, IF(p_partkey % 3 = 1, array('88'), IF(p_partkey % 3 = 2, array('88', '89'), array())), array()), IF(i % 2 = 0, array(concat(i, {sign})), array(cast(i as string), {sign})))"
-    d = table(spark, sf_dir, "part").select("p_partkey", F.expr(f"flatten(transform(sequence(1, 4), i -> {cell}))").alias("t"))
+    d = dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.expr(f"flatten(transform(sequence(1, 4), i -> {cell}))").alias("t"))
     return sheets.cells(d, "p_partkey", "t", 4, sheets.circled)
 
 
@@ -57,7 +57,7 @@ SELECT p_partkey, 2, CAST(length(CASE WHEN p_partkey % 2 = 0 THEN a || b ELSE a
 def question_blocks(spark, sf_dir):
     """A numbered list within the first question is a false start where a better choice exists."""
     text = "concat('1. ', p_name, '?\n2. decoy\n1 a 2 b 3 c 4 d 5 e\n2. real?', IF(p_partkey % 2 = 0, '\n1 a 2 b 3 c 4 d 5 e', ''))"
-    return sheets.question_blocks(table(spark, sf_dir, "part").select("p_partkey", F.expr(text).alias("t")), "p_partkey", "t", 2)
+    return sheets.question_blocks(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", F.expr(text).alias("t")), "p_partkey", "t", 2)
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' WHEN 2 THEN '.jpg' WHEN 3 THEN '.zip' END AS extension,

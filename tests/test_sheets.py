@@ -168,3 +168,12 @@ def test_columnar_keeps_a_sheet_in_its_task(spark):
     d = spark.createDataFrame([(1, "1.\n2")], "k int, t string")
     plan = sheets.columnar(d, "k", "t", 9)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Window|Sort|Exchange", plan)
+
+
+def test_circled_casts_numbers_only_and_uses_all_cores(spark):
+    # each failing try_cast makes an exception with its message
+    from orrery.plans import registry
+
+    got = registry.queries()["circled_answers"](spark, "/root/testdata/sf0.001")
+    assert "try_cast" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
