@@ -56,7 +56,13 @@ def whole(t: Column) -> Column:
 
 def tokens(t: Column) -> Column:
     """Letters and digits of Latin and Hangul script, longer than one, not all digits."""
-    return F.filter(F.regexp_extract_all(t, F.lit("[가-힣A-Za-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))
+    run = "[가-힣A-Za-z0-9]"
+    return F.regexp_extract_all(t, F.lit(f"(?<!{run})(?:[0-9]*+[가-힣A-Za-z]{run}++|[0-9]++[가-힣A-Za-z])"), F.lit(0))
+
+
+def has_tokens(t: Column) -> Column:
+    """Whether `tokens` gives any: a letter beside a letter or digit."""
+    return t.rlike("[가-힣A-Za-z][가-힣A-Za-z0-9]|[0-9][가-힣A-Za-z]")
 
 
 def let(value: Column, body) -> Column:
@@ -65,9 +71,8 @@ def let(value: Column, body) -> Column:
 
 
 def _pairs(ws: Column) -> Column:
-    nexts = F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0)))
-    pairs = F.zip_with(ws, nexts, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    return F.array_compact(pairs)
+    n = F.greatest(F.size(ws) - 1, F.lit(0))
+    return F.zip_with(F.slice(ws, F.lit(1), n), F.slice(ws, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def bigrams(ws: Column) -> Column:
@@ -77,7 +82,12 @@ def bigrams(ws: Column) -> Column:
 
 def terms(t: Column) -> Column:
     """The set of tokens and adjacent pairs."""
-    return let(tokens(t), lambda ws: F.array_union(ws, _pairs(ws)))
+    return with_pairs(tokens(t))
+
+
+def with_pairs(ws: Column) -> Column:
+    """The set of words and adjacent pairs."""
+    return let(ws, lambda x: F.array_union(x, _pairs(x)))
 
 
 def excerpt(parts: Column, budget: int, least: int = 10) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from orrery.functions.text import round4, terms
+from orrery.functions.text import has_tokens, round4, terms
 
 ALPHA, LEAST_DF, COMMON, LEAST_LOR, CAP = 0.5, 2, 0.4, 1.0, 15
 #: Best terms of a class that are folded at once.
@@ -17,12 +17,12 @@ LONG = 64
 
 def contingency(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """code, term, a (in class), df (overall), n_c, n: over labelled documents that have terms."""
-    d = docs.select(key, F.col(label).alias("code"), F.array_distinct(terms(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_ts")).filter("code IS NOT NULL AND size(_ts) > 0")
-    per = d.groupBy("code").agg(F.count(F.lit(1)).alias("n_c"))
+    d = docs.select(F.col(label).alias("code"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t")).filter("code IS NOT NULL")
+    per = d.filter(has_tokens(F.col("_t"))).groupBy("code").agg(F.count(F.lit(1)).alias("n_c"))
     n = F.sum("n_c").over(W.partitionBy())  # a row per class
-    a = d.select("code", F.explode("_ts").alias("term")).groupBy("code", "term").agg(F.count(F.lit(1)).alias("a"))
-    df = a.groupBy("term").agg(F.sum("a").alias("df"))
-    return a.join(df, "term").join(F.broadcast(per.withColumn("n", n)), "code")
+    a = d.select("code", F.explode(terms(F.col("_t"))).alias("term")).groupBy("code", "term").agg(F.count(F.lit(1)).alias("a"))
+    a = a.withColumn("df", F.sum("a").over(W.partitionBy("term")))  # a row per class and term
+    return a.join(F.broadcast(per.withColumn("n", n)), "code")
 
 
 def log_odds(c: DataFrame, alpha: float = ALPHA) -> DataFrame:

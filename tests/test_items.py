@@ -1,5 +1,6 @@
 """Text normalisation, stems and record shapes against plain Python."""
 
+import random
 import re
 import unicodedata
 
@@ -68,3 +69,22 @@ def test_large_dictionaries_take_several_passes(spark, monkeypatch):
     want = sorted(map(tuple, scoring.document_frequency(d, k, "text").collect()))
     monkeypatch.setattr(scoring, "MAX_TERMS", 2)
     assert sorted(map(tuple, scoring.document_frequency(d, k, "text").collect())) == want and len(want) >= 3
+
+
+def test_terms_equal_word_by_word(spark):
+    from orrery.functions import text as ft
+    from orrery.operators import learning
+
+    r = random.Random(6)
+    pieces = ["1", "23", "a", "Bc", "판", "바다", " ", " ", ".", "Ω"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 15))) for _ in range(500)]
+    words = [[w for w in re.findall("[가-힣A-Za-z0-9]+", t) if len(w) >= 2 and not w.isdigit()] for t in texts]
+    d = spark.createDataFrame([(t, "c") for t in texts], "t string, label string")
+    got = d.select(ft.tokens(F.col("t")).alias("w"), ft.terms(F.col("t")).alias("s"), ft.has_tokens(F.col("t")).alias("any")).collect()
+    assert [x.w for x in got] == words and [x["any"] for x in got] == [w != [] for w in words]
+    assert [sorted(x.s) for x in got] == [sorted({*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}) for w in words]
+    # the texts were taken apart again to count each class's documents, and df joined back
+    c = learning.contingency(d.withColumn("k", F.lit(1)), "k", "t", "label")
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("Join") == 1
+    assert {x.n_c for x in c.collect()} == {sum(map(bool, words))}
