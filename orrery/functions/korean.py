@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orrery.functions import text as ft
+
 # Private-use characters of two print fonts and old consonants, and what they stand for.
 DIGIT_GLYPHS = "\ue034\ue035\ue036\ue037\ue038\ue039\ue03a\ue03b\ue03c\ue03d\ue046\ue053\ue047\ue04f\ue06d"
 DIGITS_MEANT = "1234567890-+=:/"
@@ -81,8 +83,13 @@ def noun_stem(token: Column) -> Column:
 
 
 def stemmed_terms(t: Column) -> Column:
-    """Distinct stems of two characters and more that are no numbers, and pairs of neighbours; t is NFKC text."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit("[가-힣A-Za-z0-9]+"), F.lit(0)), stem)
-    ws = F.filter(found, lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))
-    pairs = F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(ws, pairs))
+    """Distinct stems of two characters and more that are no numbers, and pairs of neighbours; t is NFKC text.
+
+    One expression finds each run of letters and digits and the shortest stem
+    that a particle or nothing follows, as `stem` takes the longest particle;
+    runs that leave a number are passed over.
+    """
+    run = "[가-힣A-Za-z0-9]"
+    particle = f"(?=[{''.join(sorted({p[0] for p in TERM_PARTICLES}))}])(?:{'|'.join(TERM_PARTICLES)})"
+    word = f"(?<!{run})(?![0-9]{{2,}}+(?:{particle})?(?!{run}))({run}{{2,}}?)(?:{particle})?(?!{run})"
+    return ft.with_pairs(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(word), F.lit(1)))

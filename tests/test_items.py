@@ -71,6 +71,26 @@ def test_large_dictionaries_take_several_passes(spark, monkeypatch):
     assert sorted(map(tuple, scoring.document_frequency(d, k, "text").collect())) == want and len(want) >= 3
 
 
+def test_stemmed_terms_equal_stem_by_stem(spark):
+    r = random.Random(4)
+    pieces = ["에서는", "는", "이", "와의", "12", "7", "a", "Bc", "판", "바다", "으로", " ", " ", ".", "_", "Ω", "라"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 25))) for _ in range(500)]
+
+    def stem(w):
+        p = next((p for p in korean.TERM_PARTICLES if len(w) > len(p) + 1 and w.endswith(p)), "")
+        return w[: len(w) - len(p)]
+
+    def want(t):
+        ws = [w for w in map(stem, re.findall("[가-힣A-Za-z0-9]+", t)) if len(w) >= 2 and not re.fullmatch("[0-9]+", w)]
+        return {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))}
+
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(korean.stemmed_terms(F.col("t")).alias("x"))
+    got = [x.x for x in d.collect()]
+    assert all(len(x) == len(set(x)) for x in got) and [set(x) for x in got] == [*map(want, texts), set()]
+    # every token was held against every particle, three times over
+    assert "endswith" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_terms_equal_word_by_word(spark):
     from orrery.functions import text as ft
     from orrery.operators import learning
