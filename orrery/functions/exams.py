@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orrery.functions import text as ft
+
 
 def exam_year(exam: Column) -> Column:
     return F.when(exam.rlike(r"^\d{4}_"), F.substring(exam, 1, 4).cast("int"))
@@ -54,7 +56,7 @@ def cell_points(cell: Column) -> Column:
 
 def cell_ratio(cell: Column) -> Column:
     """A number from 0 to 100 from a cell with or without per cent signs; null otherwise."""
-    v = F.regexp_replace(F.btrim(cell), "%+$", "").try_cast("double")
+    v = ft.number(F.regexp_replace(F.btrim(cell), "%+$", ""))
     return F.when((v >= 0) & (v <= 100), v)
 
 

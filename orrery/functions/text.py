@@ -54,6 +54,11 @@ def whole(t: Column) -> Column:
     return F.when(t.rlike(r"^[\x00-\x20\x7F]*[+-]?[0-9.]+[\x00-\x20\x7F]*$"), t.try_cast("int"))
 
 
+def number(t: Column) -> Column:
+    """The string as a finite double, null if it is none; what cannot be one is not tried, as in `whole`."""
+    return F.when(t.rlike(r"^[\x00-\x20]*[+-]?[.0-9][0-9A-Za-z.+-]*[\x00-\x20]*$"), t.try_cast("double"))
+
+
 def tokens(t: Column) -> Column:
     """Letters and digits of Latin and Hangul script, longer than one, not all digits."""
     run = "[가-힣A-Za-z0-9]"

@@ -75,7 +75,7 @@ def inline_answers(df: DataFrame, key: str, text: str, count: int) -> DataFrame:
 
 
 def _ratio(cell: Column) -> Column:
-    v = F.rtrim(F.trim(cell), F.lit("%")).try_cast("double")
+    v = ft.number(F.rtrim(F.trim(cell), F.lit("%")))
     return F.when(v.between(0, 100), v)
 
 
@@ -87,13 +87,16 @@ def rate_rows(df: DataFrame, key: str, html: str, count: int) -> DataFrame:
     100 less the error rate; unproved ones are null. The first row of a number
     counts.
     """
-    d = df.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "row"))
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " ")))
-    d = d.select(key, "pos", cells.alias("c")).filter((F.size("c") >= 10) & F.get("c", F.lit(0)).rlike(r"^\d{1,3}$") & F.get("c", F.lit(1)).rlike(r"^\d{1,3}$"))
-    d = d.select(key, "pos", "c", F.get("c", F.lit(1)).cast("int").alias("number"), F.get("c", F.lit(0)).cast("int").alias("rank"), _ratio(F.get("c", F.lit(2))).alias("error_rate"))
+    inner = lambda t, tag: F.regexp_extract_all(t, F.lit(rf"(?s)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+    cells = lambda row: F.transform(inner(row, "td"), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " ")))
+    whole = lambda c: (F.size(c) >= 10) & F.get(c, F.lit(0)).rlike(r"^\d{1,3}$") & F.get(c, F.lit(1)).rlike(r"^\d{1,3}$")
+    read = lambda c: F.when(whole(c), F.struct(F.get(c, F.lit(1)).cast("int").alias("number"), F.get(c, F.lit(0)).cast("int").alias("rank"), c.alias("c"), F.transform(c, _ratio).alias("r")))
+    # filters come after the explosion, so that none is pushed below the cells and takes a row apart again
+    rows = F.transform(inner(F.col(html), "tr"), lambda row: ft.let(cells(row), read))
+    d = df.select(key, F.posexplode(rows).alias("pos", "x")).filter("x IS NOT NULL").select(key, "pos", "x.*").withColumn("error_rate", F.get("r", F.lit(2)))
     d = d.filter(F.col("number").between(1, count) & F.col("error_rate").isNotNull())
-    mark, symbol = F.get("c", F.lit(3)).try_cast("double"), ft.choice_number(F.get("c", F.lit(4)))
-    d = d.withColumns({"points": F.when((mark > 0) & (mark <= 10), mark), "answer": F.when(symbol.between(1, 5), symbol).cast("int"), "r": F.transform("c", _ratio)})
+    mark, symbol = ft.number(F.get("c", F.lit(3))), ft.choice_number(F.get("c", F.lit(4)))
+    d = d.withColumns({"points": F.when((mark > 0) & (mark <= 10), mark), "answer": F.when(symbol.between(1, 5), symbol).cast("int")})
     total = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
     windows = F.transform(F.sequence(F.lit(6), F.size("r") - 4), lambda i: F.slice("r", i, 5))
     proved = F.filter(windows, lambda w: total(w).between(95, 105) & (F.abs(F.element_at(w, F.coalesce(F.col("answer"), F.lit(1))) - (100 - F.col("error_rate"))) <= 0.2) & F.col("answer").isNotNull())

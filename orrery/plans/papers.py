@@ -40,7 +40,7 @@ def rate_table(spark, sf_dir):
     share = "transform(sequence(1, 5), i -> concat('<td>', IF(i = p_size % 5 + 1, 100 - p_partkey % 41 - 20 - IF(p_partkey % 3 = 0, 5, 0), (p_partkey % 41 + 20) / 4D), '%</td>'))"
     row = f"concat('<tr class=a>\n<td>3</td><td>7</td><td>', p_partkey % 41 + 20, '</td><td>2.5</td><td><b>', substring('①②③④⑤', CAST(p_size % 5 + 1 AS INT), 1), '</b></td><td>x</td>', array_join({share}, ''), '<td>more</td></tr>')"
     page = F.expr(f"concat('<table><tr><td>3</td><td>7</td></tr>', {row}, replace({row}, '<td>3<', '<td>9<'), '</table>')")
-    got = papers.rate_rows(table(spark, sf_dir, "part").select("p_partkey", page.alias("html")), "p_partkey", "html", 25)
+    got = papers.rate_rows(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", page.alias("html")), "p_partkey", "html", 25)
     return got.withColumn("answer_share", F.element_at("choices", F.col("answer"))).drop("choices")
 
 

@@ -58,3 +58,25 @@ def test_increments(spark, tmp_path):
     assert run() == [(1, 2)]
     spark.createDataFrame([(5,)], "k int").coalesce(1).write.mode("append").parquet(at["in"])
     assert run() == [(1, 2), (5, 10)] and run() == [(1, 2), (5, 10)]
+
+
+def test_rate_rows_take_a_row_apart_once(spark):
+    # filters pushed below the cells would take each row apart again
+    got = papers.rate_rows(spark.createDataFrame([(1, "<tr><td>1</td></tr>")], "k int, h string"), "k", "h", 9)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("<td[^>]*>") == 1 and got.count() == 0
+
+
+def test_rate_table_uses_all_cores(spark):
+    from orrery.plans import registry
+
+    plan = registry.queries()["rate_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
+
+
+def test_numbers_equal_try_cast(spark):
+    from orrery.functions import text as ft
+
+    texts = ["1", " 1.5 ", "+.5", "-2", "1e3", "1E-2", "1d", "2f", "0x1p3", ".", "", "x", "3등", "5.", "\t7\n", "1 2", "1,5", "٣", None, "99%", "-", "1e999"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    r = d.select(ft.number(F.col("t")).alias("a"), F.col("t").try_cast("double").alias("b"), ft.whole(F.col("t")).alias("c"), F.col("t").try_cast("int").alias("d")).collect()
+    assert [x.a for x in r] == [x.b for x in r] and [x.c for x in r] == [x.d for x in r] and sum(x.a is not None for x in r) > 9
