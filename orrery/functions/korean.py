@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as ft
+from orrery.functions.arrow import small_batches
 
 # Private-use characters of two print fonts and old consonants, and what they stand for.
 DIGIT_GLYPHS = "\ue034\ue035\ue036\ue037\ue038\ue039\ue03a\ue03b\ue03c\ue03d\ue046\ue053\ue047\ue04f\ue06d"
@@ -32,13 +33,20 @@ def glyphs() -> tuple[str, str]:
 
 
 def nfkc(t: Column) -> Column:
-    """Compatibility composition; Spark has no function for it, so texts go by in Arrow batches."""
+    """Compatibility composition; Spark has no function for it, so texts go by in Arrow batches.
+
+    Only texts beyond ASCII go, in batches bounded by bytes: a batch of a number
+    of rows takes memory as the texts grow.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        small_batches(spark)
 
     @F.arrow_udf("string")
     def composed(texts: pa.Array) -> pa.Array:
-        return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
+        return pa.array([x if x is None else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
 
-    return composed(t)
+    return F.coalesce(composed(F.when(F.octet_length(t) > F.length(t), t)), t)
 
 
 def cleaned(t: Column) -> Column:

@@ -16,12 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
+from orrery.functions.arrow import small_batches
+
 _own_dirs: dict[str, str] = {}
 _tracked: list[list[str]] = []
 
-#: Arrow batches hold so many bytes at most (or one row).
-BATCH_BYTES = 4 << 20
-
 #: A word is a maximal run without these six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,18 +137,6 @@ def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return to_the_end
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold BATCH_BYTES at most, if the session allows more.
-
-    The session's bound on rows alone lets a batch grow with the texts. It stays
-    lowered, since plans are run after the operator has returned.
-    """
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bound))
-    if size > BATCH_BYTES:
-        spark.conf.set(bound, str(BATCH_BYTES))
-
-
 def arrow_map(df: DataFrame, fn: Callable[[list[list]], dict[str, list]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with Python lists: fn gets a list per input column and returns a list per output column."""
     small_batches(df.sparkSession)

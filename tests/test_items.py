@@ -108,3 +108,20 @@ def test_terms_equal_word_by_word(spark):
     plan = c._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1 and plan.count("Join") == 1
     assert {x.n_c for x in c.collect()} == {sum(map(bool, words))}
+
+
+def test_composition_of_any_text(spark):
+    texts = ["plain", "é판漢か", "é", "각", "ㄱ①", "が", "가", None, ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(korean.nfkc(F.col("t")).alias("n")).collect()
+    assert [x.n for x in got] == [t and unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_composition_bounds_batches_by_bytes(spark):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    try:
+        spark.conf.set(bound, str(256 << 20))
+        korean.nfkc(F.col("t"))
+        assert int(spark.conf.get(bound)) <= 4 << 20
+    finally:
+        spark.conf.set(bound, before)
